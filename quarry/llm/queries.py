@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quarry.llm import exact, shards, tokens
+from quarry.llm import exact, mixing, shards, simhash, tokens
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_shards": shards.op3_shards,
+    "op4_simhash": simhash.op4_simhash,
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op10_token_files": tokens.op10_token_files,
 }
