@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,18 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*out)
 
 
+def located(df: DataFrame, name: str = "__at") -> DataFrame:
+    """df with a column that tells each row from all others and stays the same when the row is read again: file and row number.
+
+    A df that is not just read from files is written and read first.
+    """
+    at = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit("-"), F.col("_metadata.row_index").cast("string"))
+    try:
+        return df.select("*", at.alias(name))
+    except AnalysisException:
+        return stash(df, "located").select("*", at.alias(name))
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -191,11 +191,12 @@ def _pooled(context, token: int):
     return run
 
 
-def _scored(context, model, token: int):
+def _scored(context, model, token: int, keep_text: bool):
     def run(batches):
         for b in batches:
+            names = [c for c in b.schema.names if keep_text or c != "text"]
             p = np.clip(np.round(model.probability(pooled(b.column("text"), _vectors(context.value, token))), 6), 0, 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=[*(c for c in b.schema.names if c != "text"), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=[*names, "score", "predicted"])
 
     return run
 
@@ -221,17 +222,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     return shared, Network(np.stack(rows["x"].to_list()), y), token
 
 
-def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_text: bool = False) -> DataFrame:
     """docs (doc_id, text, further columns) -> doc_id, further columns, score, predicted: one row for each row.
 
+    The text stays only with keep_text.
     Whole texts are read; null and empty texts are scored like a text without words. Labels, languages, sources and ids
     are no inputs of a score. Repeated rows and null ids stay. With labels of one class, or none, every score is the share
     of label 1, or 0.5.
     """
     context, model, token = fit(docs, labels, fit_rows)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
     with batch_rows(docs):
-        return docs.mapInArrow(_scored(context, model, token), f"{schema}, score double, predicted int")
+        return docs.mapInArrow(_scored(context, model, token, keep_text), f"{schema}, score double, predicted int")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -139,9 +139,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """docs (doc_id, text, further columns) -> doc_id, further columns, fp, component_id: one row for each row.
+    """docs (doc_id, text, further columns) -> doc_id, further columns, fp, root, component_id: one row for each row.
 
-    component_id is the smallest doc_id reachable over fingerprints that differ in at most `radius` bits. Null, empty and
+    root is the smallest fingerprint of a component (as a signed long) and so names it; component_id is the smallest doc_id reachable over fingerprints that differ in at most `radius` bits. Null, empty and
     blank texts have fingerprint 0 and are linked like any other. A text of fewer words than a shingle is one shingle.
     Rows with a null doc_id take part and stay; component_id is null where no row of the component has an id. Repeated
     rows stay. An empty table gives an empty one.
@@ -152,9 +152,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     linked = components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp").join(reps, "fp")
     linked = stash(linked, "linked")
     lowest = stash(linked.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    named = reps.join(linked.join(lowest, "root").select("fp", "component_id"), "fp", "left")
-    named = stash(named.select("fp", F.coalesce("component_id", "first").alias("component_id")), "named")
-    return prints.join(named, "fp").select(*(c for c in prints.columns if c != "fp"), "fp", "component_id")
+    named = reps.join(linked.join(lowest, "root").select("fp", "root", "component_id"), "fp", "left")
+    named = stash(named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")), "named")
+    return prints.join(named, "fp").select(*(c for c in prints.columns if c != "fp"), "fp", "root", "component_id")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
