@@ -28,7 +28,7 @@ END_ID = 1
 #: A block is closed when it holds so many ids; one longer document makes one longer block.
 BLOCK_IDS = 1 << 16
 #: Encoded words that a worker remembers.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 150_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -61,14 +61,15 @@ class Encoder:
     texts of plain Latin characters; all other files and texts go to the library whole. Both ways give the same ids.
     """
 
-    #: Characters for which lower-casing and splitting are the same here and in the library.
-    PLAIN = re.compile(r"[\t-\r -~¡-¬®-ɏ]*")
     SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+    #: Characters for which lower-casing and splitting are the same here and in the library, and SPLIT for them alone.
+    PLAIN = re.compile(r"[\t-\r -~¡-¬®-ſ]*")
+    _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
+    _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\t-\\r {_LETTERS}{_DIGITS}]+")
 
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -78,9 +79,19 @@ class Encoder:
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == self.SPLIT and split.get("invert") is True
-        self.split = regex.compile(self.SPLIT).findall
+        self.split = self._SPLIT.findall
         self.known: dict[str, bytes] = {}
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, from one text of them all."""
+        e = self.of.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        if len(starts) != len(words):
+            return [np.array(x.ids, "<u4").tobytes() for x in self.of.encode_batch(words, add_special_tokens=False)]
+        at, raw = (np.append(starts, len(ids)) * 4).tolist(), ids.tobytes()
+        return [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
@@ -94,8 +105,7 @@ class Encoder:
                 known.clear()
             new = list({w for x in words.values() for w in x}.difference(known))
             for i in range(0, len(new), 1000):
-                for w, e in zip(new[i : i + 1000], self.of.encode_batch(new[i : i + 1000], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                known.update(zip(new[i : i + 1000], self._each(new[i : i + 1000]), strict=True))
             get = known.__getitem__
             for i, x in words.items():
                 out[i] = b"".join(map(get, x))
@@ -154,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = E
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = docs.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    with batch_rows(docs):
+    with batch_rows(docs, 250):
         ordered.mapInArrow(_packed(tokenizer, end, block_ids), BLOCKS).write.parquet(path)
 
 
