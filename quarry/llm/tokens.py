@@ -27,8 +27,8 @@ from quarry.llm.common import batch_rows, new_path, pick
 END_ID = 1
 #: A block is closed when it holds so many ids; one longer document makes one longer block.
 BLOCK_IDS = 1 << 16
-#: Encoded words that a worker remembers.
-KEEP_WORDS = 150_000
+#: Encoded words that a worker remembers before it forgets those not met since as many others.
+KEEP_WORDS = 100_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -81,6 +81,7 @@ class Encoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == self.SPLIT and split.get("invert") is True
         self.split = self._SPLIT.findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from one text of them all."""
@@ -100,10 +101,13 @@ class Encoder:
             for i, t in enumerate(texts):
                 if "<|" not in t and self.PLAIN.fullmatch(t) and "İ" not in t:
                     words[i] = self.split(unicodedata.normalize("NFC", t).lower())
-            known = self.known
-            if len(known) > KEEP_WORDS:
-                known.clear()
-            new = list({w for x in words.values() for w in x}.difference(known))
+            if len(self.known) > KEEP_WORDS:
+                self.before, self.known = self.known, {}
+            known, before = self.known, self.before
+            new = set().union(*words.values()).difference(known)
+            again = new.intersection(before)  # words still in use move on
+            known.update(zip(again, map(before.__getitem__, again), strict=True))
+            new = list(new.difference(again))
             for i in range(0, len(new), 1000):
                 known.update(zip(new[i : i + 1000], self._each(new[i : i + 1000]), strict=True))
             get = known.__getitem__
