@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Arrow batches hold this many rows where rows are whole texts, so that a batch stays within a few MB.
-TEXT_BATCH = 1000
+TEXT_BATCH = 250
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,8 +24,8 @@ from quarry.llm.tokens import public
 #: What a character without a piece costs beyond the worst score.
 UNKNOWN = 10.0
 MARK = "▁"
-#: Encoded chunks that a worker remembers, and the longest that it remembers.
-KEEP, KEEP_LENGTH = 300_000, 48
+#: Encoded chunks that a worker remembers before it forgets those not met since as many others, and the longest of them.
+KEEP, KEEP_LENGTH = 80_000, 48
 BYTE_TYPE, NORMAL_TYPES = 6, (1, 4)
 
 
@@ -55,7 +55,8 @@ class Pieces:
         self.automaton, self.penalty = automaton, least - UNKNOWN
         #: No piece reaches over the start of a marked run, so that the best path of a text is that of its chunks in a row.
         self.chunks = re.compile(".+" if inside else f"{MARK}*[^{MARK}]+|{MARK}+", re.S).findall
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def search(self, chunk: str) -> list[int]:
         """Ids of the best path. Among equal scores the one with the longest last piece, and so on backwards."""
@@ -104,13 +105,13 @@ class Pieces:
         if not text:
             return np.empty(0, "i4")
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        known, out = self.known, []
-        if len(known) > KEEP:
-            known.clear()
+        if len(self.known) > KEEP:
+            self.before, self.known = self.known, {}
+        known, before, out = self.known, self.before, []
         for c in self.chunks(marked):
             ids = known.get(c)
             if ids is None:
-                ids = np.array(self.search(c), "i4").tobytes()
+                ids = before.get(c) or np.array(self.search(c), "i4").tobytes()
                 if len(c) <= KEEP_LENGTH:
                     known[c] = ids
             out.append(ids)

@@ -25,7 +25,7 @@ HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-3
 #: One in so many fit rows sets the temperature only.
 CALIBRATION = 5
 #: Word vectors that a worker holds, and words whose vectors are gathered at once.
-KEEP, BLOCK = 100_000, 1 << 15
+KEEP, BLOCK = 60_000, 1 << 14
 
 
 def _table() -> np.ndarray:
@@ -58,22 +58,25 @@ class Vectors:
         self.clear()
 
     def clear(self):
-        self.row, self.matrix = {}, np.empty((0, 2 * DIM), "f4")
+        self.row, self.matrix = {}, np.zeros((KEEP, 2 * DIM), "f4")
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(matrix, its row for each word)."""
-        if len(self.row) > KEEP:
-            self.clear()
         new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > len(self.matrix):
+            self.clear()
+            new = words
+            if len(new) > KEEP:
+                self.matrix = np.zeros((len(new), 2 * DIM), "f4")
         if new:
-            more = np.zeros((len(new), 2 * DIM), "f4")
-            more[:, :DIM] = index_vectors(new)
-            for i, w in enumerate(new):
+            first = len(self.row)
+            at = self.matrix[first : first + len(new)]
+            at[:, :DIM], at[:, DIM:] = index_vectors(new), 0
+            for i, w in enumerate(new, first):
                 c = self.context.get(w)
                 if c is not None:
-                    more[i, DIM:] = c
-                self.row[w] = len(self.matrix) + i
-            self.matrix = np.concatenate([self.matrix, more])
+                    self.matrix[i, DIM:] = c
+                self.row[w] = i
         return self.matrix, np.fromiter(map(self.row.__getitem__, words), "i8", len(words))
 
 
