@@ -24,7 +24,7 @@ SEED = 7_919
 #: Sources are entries of a mixing recipe, one weight each; more are refused, none is left out.
 MAX_SOURCES = 100_000
 #: Rows of a stratum that are ranked together.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 TOLERANCE = 1e-7
 MAX_STEPS = 60
 
