@@ -28,7 +28,7 @@ END_ID = 1
 #: A block is closed when it holds so many ids; one longer document makes one longer block.
 BLOCK_IDS = 1 << 16
 #: Encoded words that a worker remembers before it forgets those not met since as many others.
-KEEP_WORDS = 100_000
+KEEP_WORDS = 250_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -100,19 +100,22 @@ class Encoder:
         if self.by_word:
             for i, t in enumerate(texts):
                 if "<|" not in t and self.PLAIN.fullmatch(t) and "İ" not in t:
-                    words[i] = self.split(unicodedata.normalize("NFC", t).lower())
+                    words[i] = self.split((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
             if len(self.known) > KEEP_WORDS:
                 self.before, self.known = self.known, {}
             known, before = self.known, self.before
-            new = set().union(*words.values()).difference(known)
+            found = {i: list(map(known.get, x)) for i, x in words.items()}
+            gaps = {i: [k for k, y in enumerate(x) if y is None] for i, x in found.items()}
+            new = {words[i][k] for i, x in gaps.items() for k in x}
             again = new.intersection(before)  # words still in use move on
             known.update(zip(again, map(before.__getitem__, again), strict=True))
             new = list(new.difference(again))
             for i in range(0, len(new), 1000):
                 known.update(zip(new[i : i + 1000], self._each(new[i : i + 1000]), strict=True))
-            get = known.__getitem__
-            for i, x in words.items():
-                out[i] = b"".join(map(get, x))
+            for i, x in found.items():
+                for k in gaps[i]:
+                    x[k] = known[words[i][k]]
+                out[i] = b"".join(x)
         rest = [i for i in range(len(texts)) if i not in words]
         for i in rest:
             out[i] = np.array(self.of.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
