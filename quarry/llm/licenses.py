@@ -6,6 +6,8 @@ hash join in a table of digests of known licence texts. The same lookup over sin
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,19 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, *PUNCTUATION))
 
 
+def anchor(text: str) -> str:
+    """Letters that a text must hold, whatever its case, spelling and punctuation, to have the canonical form of `text`.
+
+    A long word that no spelling rule makes or changes; or the stem that all spellings of "license" share.
+    """
+    lower = "\n".join(x for x in text.lower().split("\n") if not re.match(r"[ \t/*#;.-]*(copyright|copyleft|\(c\)|©)", x))
+    if re.search(r"licen[cs]", lower):
+        return "licen"
+    made = ("merchantab", "merchantib", "wil", "version")
+    words = [w for w in re.findall(r"[a-z]{4,}", lower) if not w.startswith(made)]
+    return max(words, key=len, default="")
+
+
 def digests(spark, known: list[tuple[str, str]]) -> DataFrame:
     """(digest, license_id): one row for each different canonical text, the smallest licence where two share one."""
     if len(known) > MAX_KNOWN:
@@ -115,11 +130,12 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
 
     `digest` is the SHA-256 of the canonical whole text and license_id the known licence with that digest, else null. Null
     and empty texts have the digest of the empty text, which no licence has. line_licenses: sorted licences of the lines
-    that are a known text by themselves (empty if none); rows that share a doc_id share it, and rows with a null id have
+    that are a known text by themselves (empty if none; a line without the letters that some known text needs is not digested); rows that share a doc_id share it, and rows with a null id have
     none. An empty table gives an empty one.
     """
     table = F.broadcast(digests(docs.sparkSession, known))  # MAX_KNOWN rows at most
-    lines = docs.filter("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(r"\S"))
+    lines = docs.filter("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.filter(F.lower("line").rlike("|".join(sorted({anchor(text) for _, text in known}))))  # no other line can match
     hits = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(table, "digest")
     hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
     whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left")
