@@ -14,8 +14,9 @@ from quarry.llm import exact, mixing, pieces, quality, simhash
 from quarry.llm.common import located, n_words, new_path, pick
 from quarry.llm.tokens import public
 
-#: Near copies: words of a shingle, and bits in which fingerprints may differ.
-SHINGLE, RADIUS = 5, 6
+#: Near copies: words of a shingle, and bits in which fingerprints may differ. A similarity of 0.8 differs in ten bits on
+#: average, one of 0.95 in four; every further bit doubles the tables, and more than five leave the disk budget (README).
+SHINGLE, RADIUS = 5, 5
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:

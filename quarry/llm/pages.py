@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick, stash
+from quarry.llm.common import batch_rows, pick, stash, trimmed
 
 #: A seed's text is template if this share of at least LEAST pages that have another article repeats it.
 SHARE, LEAST = 0.9, 3
@@ -286,11 +286,11 @@ def extract(pages: DataFrame) -> DataFrame:
     seeds = stash(pages.groupBy("host").agg(F.min_by("html", order).alias("seed")), "seeds")
     small = (seeds.agg(F.sum(F.octet_length("seed"))).first()[0] or 0) <= SENT_BYTES
     with batch_rows(pages, 200):
-        seen = _with_seeds(pages.select("host", "html"), seeds, small).mapInArrow(_evidence, "host string, place int, pages long, same long")
+        seen = _with_seeds(pages.select("host", "html"), seeds, small).mapInArrow(trimmed(_evidence), "host string, place int, pages long, same long")
         templates = seen.groupBy("host", "place").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same")).filter(f"pages >= {LEAST} and same >= {SHARE} * pages")
         templates = templates.groupBy("host").agg(F.sort_array(F.collect_list("place")).alias("template"))  # at most the texts of one page
         wrappers = stash(seeds.join(templates, "host", "left"), "wrappers")
-        return _with_seeds(pages, wrappers, small).select("page_id", "url", "html", "seed", "template").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+        return _with_seeds(pages, wrappers, small).select("page_id", "url", "html", "seed", "template").mapInArrow(trimmed(_extracted), "page_id long, url string, text string, n_chars long")
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, batch_rows, pick
+from quarry.llm.common import SPACE, batch_rows, pick, trimmed
 from quarry.llm.words import FIT_ROWS, Words, held_out, labelled_ids
 
 DIM, TABLE, SEED = 32, 1 << 13, 5
@@ -178,7 +178,7 @@ _KEPT: dict = {}
 
 
 def _vectors(context: dict, token: int) -> Vectors:
-    """One per worker and fit."""
+    """One per worker and fit, kept for the partitions of a fit but not beyond."""
     if _KEPT.get("token") != token:
         _KEPT.clear()
         _KEPT.update(token=token, vectors=Vectors(context))
@@ -236,7 +236,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_tex
     context, model, token = fit(docs, labels, fit_rows)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
     with batch_rows(docs):
-        return docs.mapInArrow(_scored(context, model, token, keep_text), f"{schema}, score double, predicted int")
+        return docs.mapInArrow(trimmed(_scored(context, model, token, keep_text)), f"{schema}, score double, predicted int")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick, stash
+from quarry.llm.common import batch_rows, pick, stash, trimmed
 from quarry.llm.words import FIT_ROWS, Words, labelled_ids
 
 TREES, SUBSAMPLE, DEPTH, SEED = 200, 256, 14, 11
@@ -155,7 +155,7 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     stay. Whole texts are read.
     """
     with batch_rows(docs):
-        measured = stash(docs.select("doc_id", "text").mapInArrow(_measured, ", ".join(["doc_id long", *(f"{k} long" for k in COUNTS), *(f"{k} double" for k in SHARES)])), "rules")
+        measured = stash(docs.select("doc_id", "text").mapInArrow(trimmed(_measured), ", ".join(["doc_id long", *(f"{k} long" for k in COUNTS), *(f"{k} double" for k in SHARES)])), "rules")
     # fit_rows rows at most
     ids = F.broadcast(labelled_ids(labels, fit_rows))
     sample = measured.filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(ids, "doc_id").select("doc_id", "quality", *SHARES).distinct().toPandas().sort_values(["doc_id", *SHARES])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick, stash
+from quarry.llm.common import batch_rows, pick, stash, trimmed
 from quarry.llm.components import components
 
 BITS = 64
@@ -68,7 +68,7 @@ def _prints(shingle: int, seed: int):
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """docs with fp (the fingerprint as a signed long) in place of text."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(_prints(shingle, seed), f"{schema}, fp long")
+    return docs.mapInArrow(trimmed(_prints(shingle, seed)), f"{schema}, fp long")
 
 
 def covering_masks(radius: int = RADIUS, family: int = 0) -> list[int]:
@@ -115,7 +115,8 @@ def _forests(radius: int):
 
 def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """(fp) distinct longs -> (a, b): edges that connect exactly what pairs within the radius connect."""
-    members, out = nodes, []
+    # a small table that grows by the number of tables: spread before it is exploded
+    members, out = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), []
     for family in range(3):
         keys = _keys(members, radius, family, F.col("key") if family else None)
         buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
@@ -128,7 +129,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFra
         some = buckets.filter("n > 2" if last else f"n > 2 and n <= {split}").select("key")
         groups = keys.join(some, "key", "left_semi").groupBy("key").agg(F.collect_list("fp").alias("fps"))
         with batch_rows(nodes, 64):
-            out.append(stash(groups.select("fps").mapInArrow(_forests(radius), "a long, b long").distinct(), "forest"))
+            out.append(stash(groups.select("fps").mapInArrow(trimmed(_forests(radius)), "a long, b long").distinct(), "forest"))
         if most <= split:
             break
         members = stash(keys.join(buckets.filter(f"n > {split}").select("key"), "key", "left_semi"), "large")
