@@ -18,15 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick
+from quarry.llm.common import batch_rows, pick, trimmed
 from quarry.llm.tokens import public
 
 #: What a character without a piece costs beyond the worst score.
 UNKNOWN = 10.0
 MARK = "▁"
 #: Encoded chunks that a worker remembers before it forgets those not met since as many others, and the longest of them.
-KEEP, KEEP_LENGTH = 80_000, 48
+KEEP, KEEP_LENGTH = 100_000, 48
 BYTE_TYPE, NORMAL_TYPES = 6, (1, 4)
+_NEVER = float("-inf")
 
 
 class Pieces:
@@ -53,68 +54,72 @@ class Pieces:
                 inside |= bool(re.search(f"[^{MARK}]{MARK}", p.piece))
         automaton.make_automaton()
         self.automaton, self.penalty = automaton, least - UNKNOWN
+        self.single = frozenset(p.piece for p in model.pieces if p.type in NORMAL_TYPES and len(p.piece) == 1)
         #: No piece reaches over the start of a marked run, so that the best path of a text is that of its chunks in a row.
-        self.chunks = re.compile(".+" if inside else f"{MARK}*[^{MARK}]+|{MARK}+", re.S).findall
+        held = {c for p in self.pieces for c in p}
+        alone = "".join(c for c in "\n\t\r\v\f" if c not in held)  # nor over a character that is in no piece
+        self.chunks = re.compile(".+" if inside else f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""), re.S).findall
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def search(self, chunk: str) -> list[int]:
         """Ids of the best path. Among equal scores the one with the longest last piece, and so on backwards."""
+        if not self.single.issuperset(chunk):
+            return self._with_unknown(chunk)
         n = len(chunk)
-        best, length, piece = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
-        done = 0  # best[:done + 1] is settled
-        covered = False
-        for end, found in self._ends(chunk):
-            while done < end:  # positions at which nothing ends, and single characters without a piece
-                self._bare(best, length, piece, done, covered)
-                done += 1
-                covered = False
-            size, score, i = found
-            now = best[end + 1 - size] + score
-            if not covered and piece[end + 1] == -1 or now > best[end + 1]:
-                best[end + 1], length[end + 1], piece[end + 1] = now, size, i
-            covered = True
-            if size == 1:
-                length[0] = end + 1  # the last position with a one-character piece
-        while done < n:
-            self._bare(best, length, piece, done, covered)
-            done += 1
-            covered = False
+        best, last = [_NEVER] * n + [0.0], [(0, 0)] * n  # best[-1] is the empty prefix
+        for end, (size, score, i) in self.automaton.iter(chunk):  # at each end the longest first: its own output, then the output links
+            now = best[end - size] + score
+            if now > best[end]:
+                best[end], last[end] = now, (size, i)
+        out, at = [], n - 1
+        while at >= 0:
+            size, i = last[at]
+            out.append(i)
+            at -= size
+        return out[::-1]
+
+    def _with_unknown(self, chunk: str) -> list[int]:
+        """The same where some characters have no piece of their own and may stand for themselves."""
+        n, ends = len(chunk), {}
+        for end, found in self.automaton.iter(chunk):
+            ends.setdefault(end, []).append(found)
+        best, last = [0.0] * (n + 1), [(1, -1)] * (n + 1)
+        for end in range(n):
+            now, way = _NEVER, (1, -1)
+            for size, score, i in ends.get(end, ()):
+                if best[end + 1 - size] + score > now:
+                    now, way = best[end + 1 - size] + score, (size, i)
+            if chunk[end] not in self.single and best[end] + self.penalty > now:
+                now, way = best[end] + self.penalty, (1, -1)
+            best[end + 1], last[end + 1] = now, way
         out, at = [], n
         while at:
-            if piece[at] >= 0:
-                out.append(piece[at])
+            size, i = last[at]
+            if i >= 0:
+                out.append(i)
+            elif self.of_byte:
+                out.extend(self.of_byte[x] for x in reversed(chunk[at - 1].encode("utf-8", "surrogatepass")))
             else:
-                out.extend(reversed([self.of_byte.get(b, self.unknown) for b in chunk[at - 1].encode("utf-8", "surrogatepass")] if self.of_byte else [self.unknown]))
-            at -= length[at]
+                out.append(self.unknown)
+            at -= size
         return out[::-1]
 
-    def _ends(self, chunk: str):
-        """(end, piece) for every piece that ends at each position, the longest first: a state's own output, then its output links."""
-        return self.automaton.iter(chunk)
-
-    def _bare(self, best, length, piece, at, covered):
-        """Settle position `at`: a character without a one-character piece may also stand for itself."""
-        if covered and length[0] == at + 1:
-            return
-        now = best[at] + self.penalty
-        if not covered or now > best[at + 1]:
-            best[at + 1], length[at + 1], piece[at + 1] = now, 1, -1
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "i4")
         marked = (MARK if self.prefix else "") + text.replace(" ", MARK)
         if len(self.known) > KEEP:
             self.before, self.known = self.known, {}
-        known, before, out = self.known, self.before, []
-        for c in self.chunks(marked):
-            ids = known.get(c)
-            if ids is None:
-                ids = before.get(c) or np.array(self.search(c), "i4").tobytes()
-                if len(c) <= KEEP_LENGTH:
-                    known[c] = ids
-            out.append(ids)
+        known, chunks = self.known, self.chunks(marked)
+        out = list(map(known.get, chunks))
+        if None in out:
+            for k, c in enumerate(chunks):
+                if out[k] is None:
+                    ids = known.get(c) or self.before.get(c) or np.array(self.search(c), "i4").tobytes()
+                    if len(c) <= KEEP_LENGTH:
+                        known[c] = ids
+                    out[k] = ids
         return np.frombuffer(b"".join(out), "i4")
 
     @property
@@ -167,7 +172,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     told from a space; it decodes to a space, and `exact` takes it as one. Repeated rows and null ids stay.
     """
     with batch_rows(docs):
-        return docs.select("doc_id", "text").mapInArrow(_encoded(model), "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, exact boolean")
+        return docs.select("doc_id", "text").mapInArrow(trimmed(_encoded(model)), "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, exact boolean")
 
 
 def decode(ids: DataFrame, model: str) -> DataFrame:
