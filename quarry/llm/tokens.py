@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import batch_rows, new_path, pick
+from quarry.llm.common import batch_rows, new_path, pick, trimmed
 
 END_ID = 1
 #: A block is closed when it holds so many ids; one longer document makes one longer block.
 BLOCK_IDS = 1 << 16
 #: Encoded words that a worker remembers before it forgets those not met since as many others.
-KEEP_WORDS = 250_000
+KEEP_WORDS = 150_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -172,7 +172,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = E
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = docs.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     with batch_rows(docs, 250):
-        ordered.mapInArrow(_packed(tokenizer, end, block_ids), BLOCKS).write.parquet(path)
+        ordered.mapInArrow(trimmed(_packed(tokenizer, end, block_ids)), BLOCKS).write.parquet(path)
 
 
 def _unpacked(batches):
@@ -196,7 +196,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Unpack every block: (doc_id, start, n_tokens, ids_crc32) for each document."""
     blocks = spark.read.parquet(path)
     with batch_rows(blocks, 20):
-        rows = blocks.mapInArrow(_unpacked, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+        rows = blocks.mapInArrow(trimmed(_unpacked), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # one row for each part: the table of parts is as small as the number of written files
     return rows.join(F.broadcast(part_starts(spark, path)), "part").select("doc_id", (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
