@@ -23,6 +23,8 @@ from quarry.llm.common import batch_rows, pick, stash, trimmed
 
 #: A seed's text is template if this share of at least LEAST pages that have another article repeats it.
 SHARE, LEAST = 0.9, 3
+#: A page with this share of its article's characters in the seed too is a copy of it, and no evidence.
+COPY = 0.9
 #: Seeds of so many bytes are sent to all executors; more are joined by host.
 SENT_BYTES = 4 << 20
 #: Elements nested deeper than this are taken as children of the element at that depth.
@@ -43,7 +45,7 @@ MARKS = frozenset(
 HEADING = frozenset("h1 h2".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title)\b[^>]*>.*?</\1\s*>|<(/?)([a-z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*>|</?[a-z][^>]*\Z""", re.S | re.I)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PARTS = re.compile(r"[a-z]+").findall
@@ -55,7 +57,7 @@ class Page:
     The tree is (label, children) with the texts as ("#", ()) leaves.
     """
 
-    __slots__ = ("blocks", "inside", "linked", "longest", "marked", "tree")
+    __slots__ = ("blocks", "inside", "linked", "marked", "tree")
 
     def __init__(self, source: str):
         self.blocks, self.marked, self.inside, self.linked = [], [], [], []
@@ -149,7 +151,12 @@ class Page:
         need = max(kinds, default=0)
         self.inside = [d >= need for d in self.inside] if need else [not x for x in self.linked]
         self.tree = _frozen(root)
-        self.longest = max(self.blocks, key=len, default="")
+
+    def copies(self, seed: Page) -> bool:
+        """Whether COPY of what this page may be about stands in the other as well."""
+        there = set(seed.blocks)
+        own = [t for t, marked, inside in zip(self.blocks, self.marked, self.inside, strict=True) if inside and not marked]
+        return sum(len(t) for t in own if t in there) >= COPY * sum(map(len, own))
 
     def text(self, template: set[int] = frozenset(), aligned: dict[int, int] | None = None, seed: Page | None = None) -> str:
         """The article: unmarked texts, without those aligned with a template text of the seed and equal to it."""
@@ -239,7 +246,7 @@ def _evidence(batches):
         counts: dict = defaultdict(lambda: [0, None])
         for host, source, seed_source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), b.column("seed").to_pylist(), strict=True):
             page, seed = Page(source or ""), _seed(seed_source or "")
-            if page.longest in seed.blocks or seed.longest in page.blocks:
+            if page.copies(seed):
                 continue
             c = counts[host]
             c[0] += 1
