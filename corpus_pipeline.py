@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact, mixing, pieces, quality, simhash
-from quarry.llm.common import located, n_words, new_path, pick
+from quarry.llm.common import located, n_words, new_path, pick, tune
 from quarry.llm.tokens import public
 
 #: Near copies: words of a shingle, and bits in which fingerprints may differ. A similarity of 0.8 differs in ten bits on
@@ -21,6 +21,7 @@ SHINGLE, RADIUS = 5, 5
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """docs with doc_id, text and source by these names and all else as c0, c1, ..., and the names to give back."""
+    tune(docs.sparkSession)
     names = docs.columns
     at = {}
     for want in ("doc_id", "text", "source"):

@@ -6,7 +6,7 @@ import ctypes
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.shared import new_path, purge, shared_dir, stash  # noqa: F401
@@ -67,6 +67,16 @@ def trimmed(run):
     return out
 
 
+def tune(spark: SparkSession) -> None:
+    """Settings for tables of whole texts, for the rest of the session: small Arrow batches and small Parquet vectors.
+
+    Both are read when a plan runs, which for a returned DataFrame is after the operator's own code. With Spark's
+    defaults (10,000 and 4,096 rows) a batch of texts takes tens of MB on either side of the pipe to Python.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+
 def batch_rows(df: DataFrame, rows: int = TEXT_BATCH):
     """Context in which Arrow batches of df's session hold so many rows. The size is read when a plan is made."""
     return _Conf(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
