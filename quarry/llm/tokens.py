@@ -28,7 +28,7 @@ END_ID = 1
 #: A block is closed when it holds so many ids; one longer document makes one longer block.
 BLOCK_IDS = 1 << 16
 #: Encoded words that a worker remembers before it forgets those not met since as many others.
-KEEP_WORDS = 150_000
+KEEP_WORDS = 200_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -54,6 +54,17 @@ def unpack(data: bytes, n: int, bits: int, start: int = 0) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def _gaps(found: list) -> list[int]:
+    """Where a list holds None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class Encoder:
     """A tokenizers file, with the ids of single words remembered.
 
@@ -83,6 +94,17 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
+    def _split(self, text: str) -> list[str]:
+        """Words of a lower-case plain text: SPLIT's, but pieces of letters alone need no search."""
+        out: list[str] = []
+        add, more, search = out.append, out.extend, self.split
+        for piece in text.split():
+            if piece.isalpha():
+                add(piece)
+            else:
+                more(search(piece))
+        return out
+
     def _each(self, words: list[str]) -> list[bytes]:
         """Ids of each word, from one text of them all."""
         e = self.of.encode(" ".join(words), add_special_tokens=False)
@@ -100,12 +122,12 @@ class Encoder:
         if self.by_word:
             for i, t in enumerate(texts):
                 if "<|" not in t and self.PLAIN.fullmatch(t) and "İ" not in t:
-                    words[i] = self.split((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
+                    words[i] = self._split((t if t.isascii() else unicodedata.normalize("NFC", t)).lower())
             if len(self.known) > KEEP_WORDS:
                 self.before, self.known = self.known, {}
             known, before = self.known, self.before
             found = {i: list(map(known.get, x)) for i, x in words.items()}
-            gaps = {i: [k for k, y in enumerate(x) if y is None] for i, x in found.items()}
+            gaps = {i: _gaps(x) for i, x in found.items()}
             new = {words[i][k] for i, x in gaps.items() for k in x}
             again = new.intersection(before)  # words still in use move on
             known.update(zip(again, map(before.__getitem__, again), strict=True))
@@ -180,7 +202,7 @@ def _unpacked(batches):
         for r in b.to_pylist():
             n = np.array(r["n_tokens"], "int64")
             at = np.concatenate([[0], np.cumsum(n)])
-            raw = unpack(r["payload"], int(at[-1]), r["bits"]).tobytes()
+            raw = memoryview(unpack(r["payload"], int(at[-1]), r["bits"])).cast("B")
             k = len(n)
             crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, r["part"], "int32")), pa.array(r["doc_ids"], pa.int64()), pa.array(r["part_start"] + at[:-1]), pa.array(n), pa.array(crc, pa.int64())], names=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
