@@ -186,12 +186,12 @@ ORACLE_SQL = {
     "ivf_visited_anti": _with(R, QUERY, CENTROIDS, _probed(99)) + "SELECT id, cluster_id FROM pr WHERE probe > 3",
     "ivf_recall_vs_exact": _with(R, QUERY, CENTROIDS, _probed(3), _near(), EXACT) + "SELECT count(*) AS neighbours, count(near.orig_id) AS found FROM e LEFT JOIN near ON near.id = e.id AND near.orig_id = e.orig_id",
     "confusion_matrix": _with(*_IVF(2), BOXES, WORST, MORE, REFINED, EXACT, VOTE, "z AS (SELECT f.fraud_count >= 3 AS rejected, v.fraud_count >= 3 AS fraud FROM f JOIN v USING (id))")
-    + "SELECT count_if(rejected AND fraud) AS tp, count_if(NOT rejected AND NOT fraud) AS tn, count_if(rejected AND NOT fraud) AS fp, count_if(NOT rejected AND fraud) AS fn, round(count_if(rejected <> fraud) / count(*), 6) AS failure_rate FROM z",
+    + "SELECT CAST(count_if(rejected AND fraud) AS BIGINT) AS tp, CAST(count_if(NOT rejected AND NOT fraud) AS BIGINT) AS tn, CAST(count_if(rejected AND NOT fraud) AS BIGINT) AS fp, CAST(count_if(NOT rejected AND fraud) AS BIGINT) AS fn, round(count_if(rejected <> fraud) / count(*), 6) AS failure_rate FROM z",
     "score_requests": _with(FEATURES, R, CENTROIDS, _probed(8), _near(), _votes(), BOXES, WORST, MORE, REFINED)
     + """SELECT id AS request_key, 200 AS status, fraud_count, fraud_count < 3 AS approved, '{"approved":' || CASE WHEN fraud_count < 3 THEN 'true' ELSE 'false' END || ',"fraud_score":' || printf('%.1f', fraud_count / 5.0) || '}' AS body FROM f""",
     "lcg_sequence": _with(_RANDOM.replace("@", "1000")) + "SELECT draw, CAST(state AS VARCHAR) AS state FROM g WHERE draw > 0",
     "kmeans_sample_ids": _with(_RANDOM.replace("@", "(SELECT least(count(*), 65536) FROM embeddings)")) + "SELECT draw - 1 AS place, CAST((state // 8589934592) % (SELECT count(*) FROM embeddings) AS BIGINT) AS orig_id FROM g WHERE draw > 0",
     "kmeans_lloyd_1": _with(R, CENTROIDS, _ASSIGNED) + "SELECT nearest AS cluster_id, count(*) AS n, " + _each("round(CAST(CAST(avg(CAST(v# AS DOUBLE)) AS FLOAT) AS DOUBLE), 4) AS c#") + " FROM a GROUP BY nearest",
-    "kmeans_change_count": _with(R, CENTROIDS, _ASSIGNED) + "SELECT count(*) AS n, count_if(nearest <> cluster_id) AS changed FROM a",
+    "kmeans_change_count": _with(R, CENTROIDS, _ASSIGNED) + "SELECT count(*) AS n, CAST(count_if(nearest <> cluster_id) AS BIGINT) AS changed FROM a",
     "index_roundtrip": _with(R) + "SELECT cluster_id, orig_id, label, " + _each("q#") + " FROM r",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,14 @@ MAGIC, VERSION = b"IVFX", 3
 PADDING = 0x7FFF
 #: Rows that a binary file may hold: it is made and read on one machine.
 MAX_ROWS = 10_000_000
-_NO_ROWS = "cluster_id int, orig_id long, label int, " + ", ".join(f"{q} smallint" for q in Q)
+_ROWS = "cluster_id int, orig_id long, label int, " + ", ".join(f"{q} int" for q in Q)
+_CLUSTERS = "cluster_id int, n long, row_offset long, blocks long, block_offset long, " + ", ".join([*(f"{x} int" for x in [*LO, *HI]), *(f"{c} float" for c in C)])
+
+
+def _frame(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A pandas frame as a DataFrame of exactly this schema, empty ones too."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    return spark.createDataFrame(pa.Table.from_pandas(rows[names], preserve_index=False)).selectExpr(*(f"cast({n} as {x.split()[1]}) as {n}" for n, x in zip(names, schema.split(", "), strict=True)))
 
 
 def write(clusters: DataFrame, rows: DataFrame, path: str) -> None:
@@ -103,5 +111,4 @@ def from_bytes(spark: SparkSession, data: bytes) -> tuple[DataFrame, DataFrame]:
     table = pd.DataFrame({"cluster_id": np.arange(k, dtype="i4"), "n": n, "row_offset": x["offsets"][:-1].astype("i8"), "blocks": np.diff(x["block_offsets"].astype("i8")), "block_offset": x["block_offsets"][:-1].astype("i8")})
     for names, key, kind in ((LO, "lo", "i4"), (HI, "hi", "i4"), (C, "centroids", "f4")):
         table = table.join(pd.DataFrame(x[key].reshape(k, DIM).astype(kind), columns=names))
-    as_rows = spark.createDataFrame(rows) if len(rows) else spark.createDataFrame([], _NO_ROWS.replace("smallint", "int"))
-    return spark.createDataFrame(table), as_rows
+    return _frame(spark, table, _CLUSTERS), _frame(spark, rows, _ROWS)
