@@ -3,8 +3,8 @@
 Each of the 64 bits has a non-zero vector of radius + 1 bits; for each non-zero vector v a mask keeps the bits whose
 vector is at odds with v. At most `radius` differing bits give at most `radius` linear conditions on v, so some v fulfils
 them all and its mask hides every differing bit: each pair within the radius meets in some table. Equal fingerprints are
-one node. Buckets of two are compared in place; larger ones yield a spanning forest, never all pairs; buckets of more
-than SPLIT fingerprints are split by a second and a third family of masks, which keep the same guarantee.
+one node. A bucket yields a spanning forest, never all pairs; buckets of more than SPLIT fingerprints are split by a
+second and a third family of masks, which keep the same guarantee.
 """
 
 from __future__ import annotations
@@ -91,52 +91,98 @@ def _keys(nodes: DataFrame, radius: int, family: int, within: Column | None) ->
     return nodes.select("fp", F.explode(keys).alias("key"))
 
 
-def _forests(radius: int):
+def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges (fingerprint, smallest of its component) that connect sorted fingerprints as all pairs within the radius would."""
+    a, b, left = [], [], fps.view("u8")
+    while len(left) > 1:
+        root, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            near = np.bitwise_count(left ^ front.pop()) <= radius
+            if near.any():
+                found, left = left[near], left[~near]
+                front.extend(found)
+                a.append(found.view("i8"))
+                b.append(np.full(len(found), root).view("i8"))
+    return a, b
+
+
+def _compared(radius: int, split: int | None):
+    """Rows (key, fp), sorted: edges (a, b, null) of each bucket, or, of a bucket of more than `split`, its rows (fp, null, key)."""
+
+    def out(a, b, key):
+        cat = lambda x: np.concatenate(x) if x else np.empty(0, "i8")
+        a, b, key = cat(a), cat(b), cat(key)
+        n, m = len(b), len(key)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.concat_arrays([pa.array(b), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)])], names=["a", "b", "key"])
+
     def run(batches):
-        for b in batches:
-            a, z = [], []
-            for row in b.column("fps"):
-                left = np.sort(row.values.to_numpy()).view("u8")
-                while len(left) > 1:
-                    root, front, left = left[0], [left[0]], left[1:]
-                    while front and len(left):
-                        near = np.bitwise_count(left ^ front.pop()) <= radius
-                        if near.any():
-                            found = left[near]
-                            left = left[~near]
-                            front.extend(found)
-                            a.append(found.view("i8"))
-                            z.append(np.full(len(found), root).view("i8"))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, "i8"))
-            yield pa.RecordBatch.from_arrays([cat(a), cat(z)], names=["a", "b"])
+        last, held, large = None, np.empty(0, "i8"), False  # the bucket that may go on in the next batch
+        for batch in batches:
+            key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
+            if not len(key):
+                continue
+            if last is not None:
+                key = np.concatenate([np.full(len(held), last), key])
+                fp = np.concatenate([held, fp])
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            a, b, big_fp, big_key = [], [], [], []
+            if large and key[0] == last:  # a bucket already found too large
+                big_fp.append(fp[: ends[0]])
+                big_key.append(key[: ends[0]])
+                starts, ends = starts[1:], ends[1:]
+                if not len(starts):
+                    held = np.empty(0, "i8")
+                    yield out([*a, *big_fp], b, big_key)
+                    continue
+            tail = starts[-1]
+            if split is not None and len(key) - tail > split:
+                big_fp.append(fp[tail:])
+                big_key.append(key[tail:])
+                last, held, large = key[tail], np.empty(0, "i8"), True
+            else:
+                last, held, large = key[tail], fp[tail:].copy(), False
+            starts, ends = starts[:-1], ends[:-1]
+            size = ends - starts
+            two = starts[size == 2]
+            close = two[np.bitwise_count(fp[two].view("u8") ^ fp[two + 1].view("u8")) <= radius]
+            a.append(fp[close + 1])
+            b.append(fp[close])
+            for i, j in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+                if split is not None and j - i > split:
+                    big_fp.append(fp[i:j])
+                    big_key.append(key[i:j])
+                else:
+                    x, y = _forest(np.sort(fp[i:j]), radius)
+                    a += x
+                    b += y
+            yield out([*a, *big_fp], b, big_key)
+        if last is not None and not large:
+            yield out(*_forest(np.sort(held), radius), [])
 
     return run
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(fp) distinct longs -> (a, b): edges that connect exactly what pairs within the radius connect."""
+    """(fp) distinct longs -> (a, b): edges that connect exactly what pairs within the radius connect.
+
+    Keys travel once, sorted by bucket; a task reads its buckets as a stream and holds at most `split` rows of one. Larger
+    buckets go through further families of masks inside the bucket; after the third, seven of 64 bits or so are left free.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a small table that grows by the number of tables: spread before it is exploded
-    members, out = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), []
+    members, edges = nodes.repartition(n), None
     for family in range(3):
         keys = _keys(members, radius, family, F.col("key") if family else None)
-        buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-        buckets = stash(buckets, "buckets")
-        out.append(buckets.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b"))
-        most = buckets.agg(F.max("n").alias("n")).first()["n"] or 0
-        if most <= 2:
-            break
-        last = family == 2
-        some = buckets.filter("n > 2" if last else f"n > 2 and n <= {split}").select("key")
-        groups = keys.join(some, "key", "left_semi").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-        with batch_rows(nodes, 64):
-            out.append(stash(groups.select("fps").mapInArrow(trimmed(_forests(radius)), "a long, b long").distinct(), "forest"))
-        if most <= split:
-            break
-        members = stash(keys.join(buckets.filter(f"n > {split}").select("key"), "key", "left_semi"), "large")
-    edges = out[0]
-    for x in out[1:]:
-        edges = edges.union(x)
-    return edges
+        ordered = keys.repartition(n, "key").sortWithinPartitions("key", "fp")
+        with batch_rows(nodes, 1 << 16):
+            found = stash(ordered.select("key", "fp").mapInArrow(trimmed(_compared(radius, split if family < 2 else None)), "a long, b long, key long"), "links")
+        some = found.filter("b is not null").select("a", "b")
+        edges = some if edges is None else edges.union(some)
+        members = found.filter("b is null").select(F.col("a").alias("fp"), "key")
+        if family == 2 or not members.take(1):
+            return edges.distinct()
+    raise AssertionError
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -161,3 +207,68 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# one document of each group of near copies
+
+
+def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; one for fewer words than a shingle, none without words."""
+    words = _WORDS((text or "").encode().translate(_LOWER))
+    if not words:
+        return np.empty(0, "u8")
+    pieces = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), "u8"))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("at", "doc_id", "root")), pa.array(sets, pa.binary())], names=["at", "doc_id", "root", "set"])
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches):
+        for b in batches:
+            pairs = zip(b.column("set").to_pylist(), b.column("lead_set").to_pylist(), strict=True)
+            alike = [similarity(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) >= least for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("at", "doc_id", "root", "set", "lead_at")), pa.array(alike, pa.bool_())], names=["at", "doc_id", "root", "set", "lead_at", "alike"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    """(doc_id, text, at), at naming the row -> (at, of_at): rows to drop, and the row that stays for each.
+
+    Fingerprints within the radius, and chains of them, make candidate groups. In each, the row with the smallest doc_id
+    (a null one last, then the smallest `at`) stays, and those with a similarity of at least `least` to it go; the others
+    are a group again, until none is left. So every row that goes has one that stays beside it that it is similar to.
+    """
+    found = stash(near_duplicates(docs.select("doc_id", "text", "at"), shingle, radius).select("at", "doc_id", "root"), "found")
+    groups = stash(found.groupBy("root").count().filter("count > 1").select("root"), "groups")
+    members = found.join(groups, "root", "left_semi").select("at", "root")
+    schema = "at string, doc_id long, root long, set binary"
+    left = docs.select("at", F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "at").select("at", "doc_id", "root", "text")
+    with batch_rows(docs):
+        left = stash(left.mapInArrow(trimmed(_sets(shingle)), schema), "sets")
+    gone = None
+    while True:
+        first = left.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        first = stash(first.select("root", F.col("first.at").alias("lead_at")), "first")
+        if not first.take(1):
+            return gone if gone is not None else docs.sparkSession.createDataFrame([], "at string, of_at string")
+        lead = stash(left.select("at", F.col("set").alias("lead_set")).join(first.withColumnRenamed("lead_at", "at"), "at").select("root", F.col("at").alias("lead_at"), "lead_set"), "lead")
+        with batch_rows(docs):
+            judged = stash(left.join(lead, "root").filter("at <> lead_at").mapInArrow(trimmed(_alike(least)), f"{schema}, lead_at string, alike boolean"), "judged")
+        went = judged.filter("alike").select("at", F.col("lead_at").alias("of_at"))
+        gone = went if gone is None else gone.union(went)
+        left = judged.filter("not alike").select("at", "doc_id", "root", "set")
