@@ -42,8 +42,8 @@ INT_DIST = _each("CAST(x.q# - r.q# AS BIGINT) * (x.q# - r.q#)", " + ")
 FLOAT_DIST = lambda a, b: _each(f"({a}.v# - {b}.c#) * ({a}.v# - {b}.c#)", " + ")
 BOUND = _each("CAST(greatest(b.lo# - x.q#, x.q# - b.hi#, 0) AS BIGINT) * greatest(b.lo# - x.q#, x.q# - b.hi#, 0)", " + ")
 TWELVE = "k AS (SELECT CAST(range AS INTEGER) AS cluster_id FROM range(12)), n AS (SELECT k.cluster_id, count(r.orig_id) AS n FROM k LEFT JOIN r USING (cluster_id) GROUP BY k.cluster_id)"
-EXACT = f"p AS (SELECT x.id, r.orig_id, r.label, {INT_DIST} AS dist FROM x, r), e AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY dist, orig_id) AS rank, orig_id, dist, label FROM p QUALIFY rank <= 5)"
-VOTE = "v AS (SELECT x.id, CAST(coalesce(sum(e.label), 0) AS INTEGER) AS fraud_count FROM x LEFT JOIN e USING (id) GROUP BY x.id)"
+EXACT = f"p AS (SELECT x.id, r.orig_id, r.label, {INT_DIST} AS dist FROM x, r WHERE x.id % 100 = 0), e AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY dist, orig_id) AS rank, orig_id, dist, label FROM p QUALIFY rank <= 5)"
+VOTE = "v AS (SELECT x.id, CAST(coalesce(sum(e.label), 0) AS INTEGER) AS fraud_count FROM x LEFT JOIN e USING (id) WHERE x.id % 100 = 0 GROUP BY x.id)"
 
 
 def _probed(nprobe: int, name: str = "pr") -> str:
