@@ -42,6 +42,8 @@ MARKS = frozenset(
     comments reply replies respond disqus discussion share sharing social related recommended widget toolbar pagination pager login signup signin search
     contentinfo complementary hidden skip""".split()
 )
+#: Words that make a class name speak of a layout, not of the element (has-sidebar). Fixed values.
+LAYOUT = frozenset("has with no without open closed enabled disabled".split())
 HEADING = frozenset("h1 h2".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -129,8 +131,9 @@ class Page:
             _, children, dropped, depth, header = stack[-1]
             attributes, names = m[4], ()
             if attributes and len(attributes) > 3:
-                names = _PARTS(" ".join(x or y or z for x, y, z in _MARKED.findall(attributes)).lower())
-                if not dropped and (_HIDDEN.search(attributes) or tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(names)):
+                classes = [_PARTS(c) for x, y, z in _MARKED.findall(attributes) for c in (x or y or z).lower().split()]
+                names = [n for c in classes for n in c]
+                if not dropped and (_HIDDEN.search(attributes) or tag not in ("html", "body", "article", "main") and any(LAYOUT.isdisjoint(c) and not MARKS.isdisjoint(c) for c in classes)):
                     dropped = True
             dropped = dropped or tag in DROPPED or tag == "header" and not depth
             if not dropped:

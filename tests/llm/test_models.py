@@ -169,6 +169,7 @@ def page(title, body, nav="Home", foot="All rights"):
         ("<div id=sidebar>s</div><main><p>m</p><form>f<input></form><div class='cookie-notice'>c</div></main><div>out</div>", "m"),
         ("<body><div class='post'><p>Long enough text.</p></div><div><a href=x>one</a> <a href=y>two</a></div><div hidden>h</div></body>", "Long enough text."),
         ("<article><p>a < b and \"quoted <em>in</em>line</p></article", "a < b and \"quoted inline"),
+        ("<div class='content has-sidebar comments-open'><article class='post comment-list'><p>kept</p></article><div class='side-comments'>c</div></div>", "kept"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1\n2\n3"),
         ("<article><script>var a = '<p>x</p>'</script><p>t</p><style>y</style></article>", "t"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
