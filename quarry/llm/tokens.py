@@ -13,6 +13,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -54,6 +55,10 @@ def unpack(data: bytes, n: int, bits: int, start: int = 0) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+#: Byte-level files write bytes that are no visible characters as letters from U+0100 on, in order.
+_LETTER_OF = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
 def _gaps(found: list) -> list[int]:
     """Where a list holds None."""
     out, at = [], -1
@@ -89,7 +94,7 @@ class Encoder:
         spec = json.loads(self.of.to_str())
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == self.SPLIT and split.get("invert") is True
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern", {}).get("Regex") == self.SPLIT and split.get("invert") is True and spec["pre_tokenizer"]["pretokenizers"][1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}] and array("I").itemsize == 4
         self.split = self._SPLIT.findall
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -106,14 +111,9 @@ class Encoder:
         return out
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one text of them all."""
-        e = self.of.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        if len(starts) != len(words):
-            return [np.array(x.ids, "<u4").tobytes() for x in self.of.encode_batch(words, add_special_tokens=False)]
-        at, raw = (np.append(starts, len(ids)) * 4).tolist(), ids.tobytes()
-        return [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        """Ids of each word by the library's model, to which the file's steps before it would hand the word as these letters."""
+        search = self.of.model.tokenize
+        return [array("I", [x.id for x in search(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTER_OF))]).tobytes() for w in words]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -132,8 +132,7 @@ class Encoder:
             again = new.intersection(before)  # words still in use move on
             known.update(zip(again, map(before.__getitem__, again), strict=True))
             new = list(new.difference(again))
-            for i in range(0, len(new), 1000):
-                known.update(zip(new[i : i + 1000], self._each(new[i : i + 1000]), strict=True))
+            known.update(zip(new, self._each(new), strict=True))
             for i, x in found.items():
                 for k in gaps[i]:
                     x[k] = known[words[i][k]]
