@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators.prng import SEED, Generator
 from quarry.schemas import DIM, MAX_CLUSTERS, C, V
-from quarry.sources.shared import stash
 
 #: Rows, drawn with replacement, that the initialisation sees at most.
 INIT_SAMPLE = 65_536
@@ -65,34 +64,34 @@ def initial(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> np.ndarray:
     return plus_plus(rows.loc[ids, V].to_numpy("f4"), k, generator)
 
 
-def _assigner(centroids: np.ndarray):
+def _assigner(centroids: np.ndarray, before: np.ndarray | None):
     def run(batches):
         for b in batches:
             x = np.stack([b.column(c).to_numpy() for c in V], 1).astype("f4") if b.num_rows else np.empty((0, DIM), "f4")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(nearest(x, centroids))], names=[*b.schema.names, "cluster_id"])
+            out = {c: b.column(c) for c in b.schema.names} | {"cluster_id": pa.array(nearest(x, centroids))}
+            if before is not None:
+                out["old_cluster"] = pa.array(nearest(x, before))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
 
-def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """vectors (with v0..v13) with cluster_id. At most MAX_CLUSTERS centroids travel with the tasks."""
+def assign(vectors: DataFrame, centroids: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
+    """vectors (with v0..v13) with cluster_id, and old_cluster by the centroids before. At most MAX_CLUSTERS centroids travel with the tasks."""
     if len(centroids) > MAX_CLUSTERS:
         raise ValueError(f"{len(centroids)} centroids; at most {MAX_CLUSTERS}")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name != "cluster_id")
-    return vectors.drop("cluster_id").mapInArrow(_assigner(centroids), f"{schema}, cluster_id int")
+    new = ["cluster_id"] + ["old_cluster"] * (before is not None)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name not in new] + [f"{c} int" for c in new])
+    return vectors.drop(*new).mapInArrow(_assigner(centroids, before), schema)
 
 
-def means(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, n, c0..c13): means in double precision, as floats."""
-    return assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), *(F.avg(F.col(v).cast("double")).cast("float").alias(c) for v, c in zip(V, C, strict=True)))
+def _means() -> list:
+    return [F.avg(F.col(v).cast("double")).cast("float").alias(c) for v, c in zip(V, C, strict=True)]
 
 
-def update(assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
-    """New centroids; a cluster without rows keeps its old one."""
-    out = centroids.copy()
-    for r in means(assigned).collect():  # a row for each cluster
-        out[r["cluster_id"]] = [r[c] for c in C]
-    return out
+def means(assigned: DataFrame) -> DataFrame:
+    """(cluster_id, n, c0..c13): means in double precision, as floats."""
+    return assigned.groupBy("cluster_id").agg(F.count("*").alias("n"), *_means())
 
 
 def changed(assigned: DataFrame, old: str = "old_cluster", new: str = "cluster_id") -> DataFrame:
@@ -103,8 +102,9 @@ def changed(assigned: DataFrame, old: str = "old_cluster", new: str = "cluster_i
 def train(vectors: DataFrame, k: int, iterations: int, seed: int = SEED) -> tuple[np.ndarray, DataFrame]:
     """vectors (orig_id 0.., v0..v13, any others) -> (centroids, vectors with cluster_id).
 
-    The assignments are those before the last update of the centroids. Every round writes its assignments (id and
-    cluster only) to the shared folder, so that no plan grows and lost executors cost one round.
+    The assignments are those before the last update of the centroids; clusters without rows keep their centroids. A
+    round is one scan and one small aggregation: each task finds the clusters by the present centroids and by those
+    before, so nothing is written or joined to count the rows that moved, and no plan grows.
     """
     n = vectors.count()
     if not n:
@@ -113,14 +113,14 @@ def train(vectors: DataFrame, k: int, iterations: int, seed: int = SEED) -> tupl
         raise ValueError(f"k must be from 1 to {MAX_CLUSTERS}")
     if iterations <= 0:
         raise ValueError("iterations must be positive")
-    centroids, last = initial(vectors, n, k, seed), None
+    centroids, before = initial(vectors, n, k, seed), None
     for _ in range(iterations):
-        now = stash(assign(vectors.select("orig_id", *V), centroids).select("orig_id", "cluster_id", *V), "kmeans")
-        moved = n
-        if last is not None:
-            before = last.select("orig_id", F.col("cluster_id").alias("old_cluster"))
-            moved = changed(now.select("orig_id", "cluster_id").join(before, "orig_id")).first()["changed"]
-        centroids, last = update(now, centroids), now
-        if moved * STOP_SHARE < n:
+        assigned = assign(vectors.select(*V), centroids, before)
+        moved = F.count_if(F.col("old_cluster") != F.col("cluster_id")) if before is not None else F.count("*")
+        found = assigned.groupBy("cluster_id").agg(moved.alias("moved"), *_means()).collect()  # a row for each cluster
+        before, centroids = centroids, centroids.copy()
+        for r in found:
+            centroids[r["cluster_id"]] = [r[c] for c in C]
+        if sum(r["moved"] for r in found) * STOP_SHARE < n:
             break
-    return centroids, vectors.drop("cluster_id").join(last.select("orig_id", "cluster_id"), "orig_id")
+    return centroids, assign(vectors, before)
