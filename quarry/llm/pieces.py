@@ -16,7 +16,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quarry.llm.common import batch_rows, pick, trimmed
 from quarry.llm.tokens import public
