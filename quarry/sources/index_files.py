@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators.layout import HEADER_BYTES, LANES, places
 from quarry.schemas import DIM, HI, LO, MAX_CLUSTERS, SCALE, C, Q
 
+#: First bytes and version of a binary file. Fixed values.
 MAGIC, VERSION = b"IVFX", 3
 #: Value of the empty places of a block.
 PADDING = 0x7FFF
