@@ -207,68 +207,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# one document of each group of near copies
-
-
-def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
-    """Sorted hashes of the different shingles of a text; one for fewer words than a shingle, none without words."""
-    words = _WORDS((text or "").encode().translate(_LOWER))
-    if not words:
-        return np.empty(0, "u8")
-    pieces = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), "u8"))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets; 1 for two empty ones."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def _sets(shingle: int):
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("at", "doc_id", "root")), pa.array(sets, pa.binary())], names=["at", "doc_id", "root", "set"])
-
-    return run
-
-
-def _alike(least: float):
-    def run(batches):
-        for b in batches:
-            pairs = zip(b.column("set").to_pylist(), b.column("lead_set").to_pylist(), strict=True)
-            alike = [similarity(np.frombuffer(x, "u8"), np.frombuffer(y, "u8")) >= least for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("at", "doc_id", "root", "set", "lead_at")), pa.array(alike, pa.bool_())], names=["at", "doc_id", "root", "set", "lead_at", "alike"])
-
-    return run
-
-
-def near_copies(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
-    """(doc_id, text, at), at naming the row -> (at, of_at): rows to drop, and the row that stays for each.
-
-    Fingerprints within the radius, and chains of them, make candidate groups. In each, the row with the smallest doc_id
-    (a null one last, then the smallest `at`) stays, and those with a similarity of at least `least` to it go; the others
-    are a group again, until none is left. So every row that goes has one that stays beside it that it is similar to.
-    """
-    found = stash(near_duplicates(docs.select("doc_id", "text", "at"), shingle, radius).select("at", "doc_id", "root"), "found")
-    groups = stash(found.groupBy("root").count().filter("count > 1").select("root"), "groups")
-    members = found.join(groups, "root", "left_semi").select("at", "root")
-    schema = "at string, doc_id long, root long, set binary"
-    left = docs.select("at", F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "at").select("at", "doc_id", "root", "text")
-    with batch_rows(docs):
-        left = stash(left.mapInArrow(trimmed(_sets(shingle)), schema), "sets")
-    gone = None
-    while True:
-        first = left.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        first = stash(first.select("root", F.col("first.at").alias("lead_at")), "first")
-        if not first.take(1):
-            return gone if gone is not None else docs.sparkSession.createDataFrame([], "at string, of_at string")
-        lead = stash(left.select("at", F.col("set").alias("lead_set")).join(first.withColumnRenamed("lead_at", "at"), "at").select("root", F.col("at").alias("lead_at"), "lead_set"), "lead")
-        with batch_rows(docs):
-            judged = stash(left.join(lead, "root").filter("at <> lead_at").mapInArrow(trimmed(_alike(least)), f"{schema}, lead_at string, alike boolean"), "judged")
-        went = judged.filter("alike").select("at", F.col("lead_at").alias("of_at"))
-        gone = went if gone is None else gone.union(went)
-        left = judged.filter("not alike").select("at", "doc_id", "root", "set")
