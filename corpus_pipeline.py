@@ -14,9 +14,9 @@ from quarry.llm import exact, mixing, pieces, quality, simhash
 from quarry.llm.common import located, n_words, new_path, pick, tune
 from quarry.llm.tokens import public
 
-#: Near copies: words of a shingle, and bits in which fingerprints may differ. A similarity of 0.8 differs in ten bits on
-#: average, one of 0.95 in four; every further bit doubles the tables.
-SHINGLE, RADIUS = 5, 6
+#: Near copies: words of a shingle, bits in which fingerprints of candidates may differ, and the similarity of copies.
+#: A similarity of 0.8 differs in ten bits on average, one of 0.95 in four; every further bit doubles the tables.
+SHINGLE, RADIUS, SIMILARITY = 5, 7, 0.8
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -53,12 +53,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, linked directly or over others: the one with the smallest doc_id."""
+    """One document of each group of near copies, linked by similar pairs directly or over others: the one with the smallest doc_id."""
     plain, names = _plain(docs)
     plain = located(plain)
-    found = simhash.near_duplicates(plain.select("doc_id", "text", F.col("__at").alias("at")), SHINGLE, RADIUS)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
-    return _kept(plain, first.select("first.at")).toDF(*names)
+    gone = simhash.near_copies(plain.select("doc_id", "text", F.col("__at").alias("at")), SHINGLE, RADIUS, SIMILARITY)
+    return plain.join(gone.withColumnRenamed("at", "__at"), "__at", "left_anti").drop("__at").toDF(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

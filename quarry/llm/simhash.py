@@ -71,10 +71,18 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     return docs.mapInArrow(trimmed(_prints(shingle, seed)), f"{schema}, fp long")
 
 
+def _spread(radius: int, top: int) -> list[int]:
+    """Vectors of which no mask keeps few bits: a Reed-Muller code (32 bits and more) for radius 6, with a bent function (28 and more) for 7."""
+    if radius > 7:
+        return random.Random(0).sample(range(1, top + 1), BITS)
+    bent = [(i & i >> 1 & 1) ^ (i >> 2 & i >> 3 & 1) ^ (i >> 4 & i >> 5 & 1) for i in range(BITS)]
+    return [64 + i + (128 * bent[i] if radius > 6 else 0) for i in range(BITS)]
+
+
 def covering_masks(radius: int = RADIUS, family: int = 0) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits; any `radius` bits are outside at least one of them. Families differ in the bits' vectors."""
     top = (1 << (radius + 1)) - 1
-    vectors = [i % top + 1 for i in range(BITS)]
+    vectors = [i % top + 1 for i in range(BITS)] if top < BITS else _spread(radius, top)
     if family:
         random.Random(family).shuffle(vectors)
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
@@ -207,3 +215,106 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# near copies: candidates within a radius, verified by their shingles
+
+#: Rows and bytes of shingle sets that a block of a candidate group holds on average.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 10, 1 << 20
+
+
+def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; one for fewer words than a shingle, none without words."""
+    words = _WORDS((text or "").encode().translate(_LOWER))
+    if not words:
+        return np.empty(0, "u8")
+    pieces = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), "u8"))
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(sets, pa.binary())], names=[*(c for c in b.schema.names if c != "text"), "set"])
+
+    return run
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray] | None, least: float) -> list[tuple[int, int]]:
+    """Pairs of sets with a Jaccard similarity of at least `least` (1 for two empty ones) that connect what all such pairs do.
+
+    Pairs of a set of a and one of b, numbered on from a; without b, pairs inside a. Every pair is looked at, through an
+    inverted index.
+    """
+    sizes = np.array([len(x) for x in (a if b is None else b)], "i8")
+    values = np.concatenate(a if b is None else b)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = 0 if b is None else len(a)
+    label, out = np.arange(first + len(sizes)), []
+    for i, x in enumerate(a):
+        low = np.searchsorted(values, x, "left")
+        n = np.searchsorted(values, x, "right") - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        both = np.bincount(owner[at], minlength=len(sizes))
+        union = len(x) + sizes - both
+        alike = first + np.flatnonzero((union == 0) | (both / np.maximum(union, 1) >= least))
+        alike = alike[label[alike] != label[i]]
+        if len(alike):
+            merged, one = np.unique(label[alike], return_index=True)
+            out += [(i, int(j)) for j in alike[one]]
+            label[np.isin(label, merged)] = label[i]
+    return out
+
+
+def _verified(least: float):
+    """Rows (a, b), lists of (id, set), b null for pairs inside a -> edges (a, b) of similar rows."""
+
+    def lists(rows):
+        return [r["id"] for r in rows or ()], [np.frombuffer(r["set"], "u8") for r in rows or ()]
+
+    def run(batches):
+        for batch in batches:
+            x, y = [], []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                (ids, sets), (more, others) = lists(a.as_py()), lists(b.as_py())
+                ids = ids + more
+                for i, j in similar(sets, others if b.is_valid else None, least):
+                    x.append(ids[i])
+                    y.append(ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+    """(doc_id, text, at), at naming the row -> (at): the rows to drop.
+
+    Fingerprints within the radius, and chains of them, make candidate groups. Inside a group every pair is held against
+    `least` by its shingle sets, whatever its bits; rows linked by similar pairs, directly or over others, are one group of
+    copies, of which the one with the smallest doc_id stays (a null one last, then the smallest `at`). Large groups are
+    dealt into blocks, and each pair of blocks is one row of work.
+    """
+    found = stash(near_duplicates(docs.select("doc_id", "text", "at"), shingle, radius).select("at", "root"), "found")
+    groups = stash(found.groupBy("root").count().filter("count > 1").select("root"), "groups")
+    rows = docs.select("at", "doc_id", "text").join(found.join(groups, "root", "left_semi"), "at")
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), "at", "doc_id", "root", "text")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    with batch_rows(docs):
+        rows = stash(rows.mapInArrow(trimmed(_sets(shingle)), f"{schema}, set binary"), "sets")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int")
+    sized = stash(rows.groupBy("root").agg(blocks.alias("blocks")), "sized")
+    dealt = rows.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    packed = stash(dealt.groupBy("root", "blocks", "block").agg(F.collect_list(F.struct("id", "set")).alias("a")), "blocks")
+    inside = packed.select("a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
+    many = packed.filter("blocks > 1")
+    low = many.select("root", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "a").filter("i < j")
+    high = many.select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.col("block").alias("j"), F.col("a").alias("b")).filter("i < j")
+    with batch_rows(docs, 8):
+        pairs = stash(inside.union(low.join(high, ["root", "i", "j"]).select("a", "b")).mapInArrow(trimmed(_verified(least)), "a long, b long"), "similar")
+    linked = components(pairs).withColumnRenamed("node", "id").withColumnRenamed("root", "copies")
+    linked = stash(rows.select("id", "at", "doc_id").join(linked, "id"), "copies")
+    first = linked.groupBy("copies").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"))
+    return linked.select("at").join(first.select("first.at"), "at", "left_anti")

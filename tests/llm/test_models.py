@@ -91,6 +91,55 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize(("radius", "least"), [(6, 32), (7, 28)])
+def test_masks_of_wide_radii_keep_many_bits(radius, least):
+    rng = np.random.default_rng(radius)
+    for family in range(3):
+        masks = simhash.covering_masks(radius, family)
+        assert len(masks) == 2 ** (radius + 1) - 1 and min(m.bit_count() for m in masks) == least
+        for _ in range(200):
+            gone = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+            assert any(not m & gone for m in masks)
+
+
+@pytest.mark.parametrize("block", [1 << 10, 3])
+def test_near_copies_are_verified_by_their_shingles(spark, monkeypatch, block):
+    """Strangers made one candidate group: only what a chain of similar pairs links to an earlier row goes."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    one = lambda docs, *_: docs.select("doc_id", "at", simhash.F.lit(1).alias("fp"), simhash.F.lit(1).cast("long").alias("root"))
+    monkeypatch.setattr(simhash, "near_duplicates", one)
+    rng = np.random.default_rng(5)
+    rows = [None, "", "a b", "A  b"]
+    for g in range(10):
+        base = [f"w{int(x)}" for x in rng.integers(0, 400, 60 + 20 * g)]
+        for _ in range(4):
+            text = list(base)
+            for j in rng.choice(len(text), int(rng.integers(0, 4)), replace=False):
+                text[j] = "changed"
+            rows.append(" ".join(text))
+    text = [WORD((t or "").translate(LOWER)) for t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in text]
+    bits = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 1.0) >= 0.8:
+            a, b = sorted((bits[i], bits[j]))
+            bits = [a if x == b else x for x in bits]
+    df = spark.createDataFrame([(i, t, f"{i:04d}") for i, t in enumerate(rows)], "doc_id long, text string, at string")
+    gone = sorted(int(r["at"]) for r in simhash.near_copies(df, 5, 6, 0.8).collect())
+    assert gone == [i for i in range(len(rows)) if bits[i] != i]
+    assert 12 < len(gone) < 32
+
+
+def test_near_dedup_keeps_what_only_looks_alike(spark, folder, monkeypatch):
+    import corpus_pipeline as cp
+
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.drop("text").withColumn("fp", simhash.F.lit(7).cast("long")))
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[1] + " more"), (None, texts[2]), (None, texts[2])]
+    got = cp.near_dedup(spark, spark.read.parquet(f"{folder(rows)}/documents.parquet"), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, texts[0]), (2, texts[1]), (None, texts[2])], key=str)
+
+
 def test_simhash_query(spark, folder):
     base = " ".join(f"w{i * 7919 % 1000}" for i in range(400))
     near = [base.replace(f" w{i * 7919 % 1000} ", " changed ", 1) for i in (3, 50, 200)]
