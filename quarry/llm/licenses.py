@@ -6,6 +6,7 @@ hash join in a table of digests of known licence texts. The same lookup over sin
 
 from __future__ import annotations
 
+import pkgutil
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,15 @@ from quarry.llm.common import pick
 
 #: (pattern, replacement), applied in this order to lower-case text. Java and RE2 both read them.
 COPYRIGHT_LINE = (r"(^|\n)[ \t/*#;.-]*(copyright|copyleft|\(c\)|©)[^\n]*", "\n")
+#: Words after "copyright" that go on with a sentence, where a notice would name a year or a holder. Fixed values.
+_PROSE = "the (?:library|software|program|work)|notices?|holders?|owners?|ownership|laws?|licen[cs]\\w*|statements?|interests?|rights?|and|or|in|on|of|to|for|from|is|are|as|with|that|which|under|disclaimers?|treat(?:y|ies)|acts?|protection|permissions?|lines?|headers?|status|materials?|terms?|doctrines?|attributions?|claims?|assignments?|infringements?|works?|registrations?|office"
+#: Notices alone, by what COPYRIGHT_LINE deletes: not a line of a sentence that is wrapped before the word, nor an item (c).
+NOTICE = (
+    r"(^|\n)[ \t/*#;.-]*(copyright[ \t:,]*(\(c\)|©|[0-9])|(copyright|copyleft)[ \t:]+(?!(?:" + _PROSE + r")\b)[^\s,;.)]|©|\(c\)[ \t]*([0-9]{4}|copyright|by\b))[^\n]*",
+    "\n",
+)
+#: What COPYRIGHT_LINE may delete of a sentence: only such texts need a second digest.
+STARTS = r"(^|\n)[ \t/*#;.-]*(copyright|copyleft|\(c\))"
 SPELLINGS = [
     (r"\b(sub|un)?licence(s|d|e|es)?\b", "${1}license${2}"),
     (r"\b(sub|un)?licen[cs]ing\b", "${1}licensing"),
@@ -92,13 +102,22 @@ KNOWN = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     *((x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "Apache-2.0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib", "GPL-2.0-only", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0")),
 ]
+#: Longer licences, from files beside this one; not in the SQL. A text of the GPL or LGPL says nothing of later versions.
+_FILES = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only",
+    "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+WHOLE = [(name, pkgutil.get_data("quarry.llm", f"license_texts/{file}.txt").decode()) for file, name in _FILES.items()]
+_END = "END OF TERMS AND CONDITIONS"
+#: The same without the appendix on how to apply them.
+WHOLE += [(name, text[: text.index(_END) + len(_END)]) for name, text in WHOLE if _END in text]
 #: Known texts that a table of digests may hold; more are refused.
 MAX_KNOWN = 100_000
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, notice: tuple[str, str] = COPYRIGHT_LINE) -> Column:
     """Normalised text; null as empty."""
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), *COPYRIGHT_LINE)
+    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), *notice)
     for pattern, by in SPELLINGS:
         out = F.regexp_replace(out, pattern, by.replace("${1}", "$1").replace("${2}", "$2"))
     return F.trim(F.regexp_replace(out, *PUNCTUATION))
@@ -118,17 +137,19 @@ def anchor(text: str) -> str:
 
 
 def digests(spark, known: list[tuple[str, str]]) -> DataFrame:
-    """(digest, license_id): one row for each different canonical text, the smallest licence where two share one."""
+    """(digest, license_id): one row for each different canonical text (by lines and by notices), the smallest licence where two share one."""
     if len(known) > MAX_KNOWN:
         raise ValueError(f"{len(known)} known texts; at most {MAX_KNOWN}")
     table = spark.createDataFrame(list(known), "license_id string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    both = F.array(*(F.sha2(canonical(F.col("text"), notice), 256) for notice in (COPYRIGHT_LINE, NOTICE)))
+    return table.select(F.explode(both).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN + WHOLE) -> DataFrame:
     """(doc_id, text) -> doc_id, digest, license_id, line_licenses: one row for each row.
 
-    `digest` is the SHA-256 of the canonical whole text and license_id the known licence with that digest, else null. Null
+    `digest` is the SHA-256 of the canonical whole text and license_id the known licence with that digest, or with that of
+    the text less true notices only (a sentence may be wrapped before "copyright"), else null. Null
     and empty texts have the digest of the empty text, which no licence has. line_licenses: sorted licences of the lines
     that are a known text by themselves (empty if none; a line without the letters that some known text needs is not digested); rows that share a doc_id share it, and rows with a null id have
     none. An empty table gives an empty one.
@@ -138,7 +159,10 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     lines = lines.filter(F.lower("line").rlike("|".join(sorted({anchor(text) for _, text in known}))))  # no other line can match
     hits = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(table, "digest")
     hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
-    whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table, "digest", "left")
+    wrapped = F.when(F.lower("text").rlike(STARTS), F.sha2(canonical(F.col("text"), NOTICE), 256))
+    whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), wrapped.alias("wrapped")).join(table, "digest", "left")
+    again = F.broadcast(digests(docs.sparkSession, known).toDF("wrapped", "again"))  # the same table
+    whole = whole.join(again, "wrapped", "left").select("doc_id", "digest", F.coalesce("license_id", "again").alias("license_id"))
     return whole.join(hits, "doc_id", "left").select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
 
 

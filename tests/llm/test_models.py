@@ -235,6 +235,25 @@ def test_pages_keep_articles(spark, sf):
 # licences
 
 
+def test_whole_texts_of_longer_licenses_in_any_wrap(spark, folder):
+    import textwrap
+
+    notice = "Copyright (c) 2020 Jane Doe\nCopyright Example Corp.\n\n"
+    rows, names = [], []
+    for name, text in [*licenses.WHOLE, ("ISC", licenses._ISC), ("BSD-3-Clause", licenses._BSD_HEAD + licenses._BSD_THIRD + licenses._BSD_TAIL)]:
+        flat = "\n\n".join(" ".join(p.split()) for p in re.sub(licenses.NOTICE[0], "\n", text, flags=re.I).split("\n\n"))
+        for width in (40, 61, 72, 77):
+            rows.append((len(rows), notice + "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in flat.split("\n\n"))))
+            names.append(name)
+        rows.append((len(rows), text))
+        names.append(name)
+    rows += [(1000, "copyright notice and this permission notice appear in all copies."), (1001, licenses.WHOLE[0][1] + " and more")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.op6_license_scan(spark, folder(rows)).collect()}
+    assert [(i, got[i]) for i in range(len(names)) if got[i] != names[i]] == []
+    assert got[1000] is None and got[1001] is None
+    assert {"Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0"} <= set(names)
+
+
 def test_licences(spark, folder, sf):
     texts = [t for _, t in licenses.KNOWN]
     changed = ["Copyright (c) 1999 Me\n\n" + t.upper().replace("LICENSE", "LICENCE").replace(" ", "  ").replace(",", ";") for t in texts]
