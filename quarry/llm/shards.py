@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import pick, stash
+from quarry.llm.common import new_path, pick, stash
 
 SHARDS = 24
 SEED = 20_240_117
@@ -26,27 +26,44 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*(F.struct(F.xxhash64(key, F.lit(seed), F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in range(shards))))["k"]
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """keyed (__row, the hash of a row) with __copy: equal rows numbered from 0, in parts, so that no task has all of them."""
+    repeated = keyed.groupBy("__row").count().filter("count > 1").select("__row")
+    if not repeated.take(1):
+        return keyed.withColumn("__copy", F.lit(0).cast("long"))
+    keyed = stash(keyed.withColumn("__id", F.monotonically_increasing_id()), "shards")
+    rows = keyed.select("__row", "__id", F.shiftright("__id", 33).alias("part")).join(stash(repeated, "repeated"), "__row", "left_semi")
+    # a part holds what one task wrote
+    rows = rows.select("__row", "__id", "part", F.row_number().over(Window.partitionBy("__row", "part").orderBy("__id")).alias("nth"))
+    rows = stash(rows, "nth")
+    earlier = F.sum("n").over(Window.partitionBy("__row").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("__row", "part").agg(F.count("*").alias("n")).select("__row", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    numbered = rows.join(parts, ["__row", "part"]).select("__id", (F.col("earlier") + F.col("nth") - 1).alias("__copy"))
+    return keyed.join(stash(numbered, "copies"), "__id", "left").drop("__id").withColumn("__copy", F.coalesce("__copy", F.lit(0).cast("long")))
+
+
 def shuffle_into_shards(df: DataFrame, key: str = "doc_id", size: str = "size", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df's rows with shard, grown_shard (with one more shard), bucket and slot (gapless from 0 in its shard).
 
     `key` and the number of shards alone decide the shard. `size` (bytes, null as 0) only sets how many buckets a shard
-    has. All rows stay, repeated ones too: equal rows go to the same bucket and get slots of their own. Ties in the hash
-    are ordered by the row itself, so reruns agree. Columns of df named as the new ones are replaced. An empty table
-    gives an empty one. Columns must have an order (no maps).
+    has. All rows stay, repeated ones too. The bucket is drawn from the whole row and, of equal rows, the number of the
+    copy, so neither a common key nor a common row fills one bucket. Ties in the hash are ordered by the row itself, so
+    reruns agree. df is read several times and must be the same each time. Columns of df named as the new ones are
+    replaced. An empty table gives an empty one. Columns must have an order (no maps).
     """
     made = {"shard", "grown_shard", "bucket", "slot"}
     df = df.select(*(c for c in df.columns if c.lower() not in made))
     keyed = df.withColumn("shard", shard_of(F.col(key), shards, seed)).withColumn(
         "grown_shard", F.when(F.xxhash64(F.col(key), F.lit(seed), F.lit(shards)) > F.array_max(F.array(*(F.xxhash64(F.col(key), F.lit(seed), F.lit(k)) for k in range(shards)))), F.lit(shards)).otherwise(F.col("shard"))
     )
-    keyed = stash(keyed, "shards")
     total = keyed.agg(F.sum(size).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(buckets)))
+    keyed = _copies(keyed.withColumn("__row", F.xxhash64(*df.columns, F.lit(seed + 1))))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("__row", "__copy", F.lit(seed + 1)), F.lit(buckets)))
     counts = keyed.groupBy("shard", "bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("shard", "bucket", before.alias("before"))
-    row = F.struct(F.xxhash64(F.col(key), F.lit(seed + 2)).alias("h"), *(F.col(c) for c in df.columns), F.col("grown_shard"))
+    row = F.struct(F.xxhash64("__row", F.lit(seed + 2)).alias("h"), *(F.col(c) for c in df.columns), F.col("grown_shard"))
     lists = keyed.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     lists = lists.sortWithinPartitions("shard", "bucket").withColumn("rows", F.shuffle("rows", seed))
     out = lists.join(counts, ["shard", "bucket"]).select("shard", "bucket", "before", F.posexplode("rows").alias("pos", "row"))
@@ -55,14 +72,15 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", size: str = "size",
 
 def write_shards(df: DataFrame, path: str, **options) -> DataFrame:
     """Shuffle df into shards and write them under path as shard=/bucket= folders, each file in slot order. Returns what was written."""
-    shuffle_into_shards(df, **options).write.partitionBy("shard", "bucket").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = shuffle_into_shards(df, **options)
+    out.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def op3_shards(spark, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards under the law `key`. Size: UTF-8 bytes (null: none) plus 8; the CRC of null is that of ''."""
+    """All documents in 24 shards under the law `key`, written and read back. Size: UTF-8 bytes (null: none) plus 8; the CRC of null is that of ''."""
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(sized)
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    size = (F.octet_length(text) + 8).cast("long").alias("size")
+    out = write_shards(docs.select("doc_id", "text", size), new_path(spark, "written"))
+    return out.select("doc_id", size, F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

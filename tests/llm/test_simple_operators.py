@@ -105,6 +105,29 @@ def test_written_shards_hold_whole_records_in_slot_order(spark, tmp_path):
     assert one == list(range(len(one)))
 
 
+def test_a_common_key_or_row_does_not_fill_a_bucket(spark):
+    rows = [(None, f"text {i}", 100) for i in range(600)] + [(7, "same", 100)] * 600 + [(i, f"t {i}", 100) for i in range(100, 700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size long")
+    runs = [shards.shuffle_into_shards(x, shards=2, bucket_bytes=9_000).collect() for x in (df, df.repartition(7))]
+    assert sorted(map(tuple, runs[0]), key=str) == sorted(map(tuple, runs[1]), key=str)
+    for doc in (None, 7):
+        at = [(r["shard"], r["bucket"]) for r in runs[0] if r["doc_id"] == doc]
+        assert len(at) == 600 and len({s for s, _ in at}) == 1
+        assert max(at.count(x) for x in set(at)) < 150
+    for s in (0, 1):
+        assert sorted(r["slot"] for r in runs[0] if r["shard"] == s) == list(range(sum(r["shard"] == s for r in runs[0])))
+
+
+def test_the_shard_query_reads_what_it_wrote(spark, folder, monkeypatch):
+    wrote = []
+    write = shards.write_shards
+    monkeypatch.setattr(shards, "write_shards", lambda df, path, **o: (wrote.append(path), write(df, path, **o))[1])
+    got = shards.op3_shards(spark, folder(ODD))
+    back = spark.read.parquet(wrote[0])
+    assert sorted((r["text"] for r in back.collect()), key=str) == sorted((r[1] for r in ODD), key=str)
+    assert {f.rsplit("/shard=", 1)[0].removeprefix("file://") for f in got.inputFiles()} == {wrote[0].removeprefix("file:")}
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     for bits in (1, 2, 7, 8, 13, 16, 17, 31, 32):
