@@ -10,6 +10,7 @@ pages for a wrapper have only those marks.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import defaultdict
 from functools import lru_cache
@@ -29,8 +30,6 @@ COPY = 0.9
 SENT_BYTES = 4 << 20
 #: Elements nested deeper than this are taken as children of the element at that depth.
 DEPTH = 120
-#: Children beyond which, after equal ends are matched, two lists are matched in order without a search.
-SEARCH = 400
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,6 +191,44 @@ def _children(a: tuple, b: tuple) -> list[tuple]:
     return [(a[i], b[j]) for i, j in _pairs(a, b)]
 
 
+def _best(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """The search for the best match, by rows: of the table only every so many rows are kept, others are made again on the way back."""
+    n, m = len(a), len(b)
+    kinds = {y: k for k, y in enumerate(dict.fromkeys(b))}
+    of_b = np.array([kinds[y] for y in b])
+    gains = {x: np.array([_size(x, y) if x[0] == y[0] else 0 for y in kinds], "i4") for x in dict.fromkeys(a)}
+
+    def above(row, i):
+        """The table's row i from row i + 1."""
+        out = np.zeros(m + 1, "i4")
+        out[:m] = np.maximum.accumulate(np.maximum(row[:m], row[1:] + gains[a[i]][of_b])[::-1])[::-1]
+        return out
+
+    step = math.isqrt(n) + 1
+    row = np.zeros(m + 1, "i4")
+    kept = {n: row}
+    for i in range(n - 1, -1, -1):
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        stop = min(i // step * step + step, n)
+        rows = {stop: kept[stop]}
+        for k in range(stop - 1, i - 1, -1):
+            rows[k] = above(rows[k + 1], k)
+        while i < stop and j < m:
+            gain = gains[a[i]][of_b[j]]
+            if gain and rows[i][j] == rows[i + 1][j + 1] + gain:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif rows[i][j] == rows[i + 1][j]:
+                i += 1
+            else:
+                j += 1
+    return out
+
+
 def _pairs(a: tuple, b: tuple) -> list[tuple[int, int]]:
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
@@ -200,24 +237,7 @@ def _pairs(a: tuple, b: tuple) -> list[tuple[int, int]]:
     while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
         high += 1
     n, m = len(a) - low - high, len(b) - low - high
-    middle = []
-    if n and m and max(n, m) <= SEARCH:
-        best = np.zeros((n + 1, m + 1), "i8")
-        gain = [[_size(x, y) for y in b[low : low + m]] for x in a[low : low + n]]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i, j] = max(best[i + 1, j], best[i, j + 1], best[i + 1, j + 1] + gain[i][j])
-        i = j = 0
-        while i < n and j < m:
-            if gain[i][j] and best[i, j] == best[i + 1, j + 1] + gain[i][j]:
-                middle.append((low + i, low + j))
-                i, j = i + 1, j + 1
-            elif best[i, j] == best[i + 1, j]:
-                i += 1
-            else:
-                j += 1
-    elif n and m:
-        middle = [(low + k, low + k) for k in range(min(n, m)) if a[low + k][0] == b[low + k][0]]
+    middle = [(low + i, low + j) for i, j in _best(a[low : low + n], b[low : low + m])] if n and m else []
     return [*((k, k) for k in range(low)), *middle, *((len(a) - k, len(b) - k) for k in range(high, 0, -1))]
 
 

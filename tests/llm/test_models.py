@@ -235,6 +235,29 @@ def test_pages_keep_articles(spark, sf):
 # licences
 
 
+def test_long_lists_of_children_are_matched_by_search():
+    rng = np.random.default_rng(3)
+    leaf = ("#", ())
+    kinds = [("p", (leaf,)), ("h2", (leaf,)), ("ul", (("li", (leaf,)), ("li", (leaf,)))), ("div", (leaf, ("p", (leaf,))))]
+    common = [kinds[k] for k in rng.integers(0, 4, 900)]
+    new = ("table", (("tr", (leaf,)),))
+    page = [*common[:5], new, *common[5:890], new, *common[890:]]
+    want = [(i + (i >= 5) + (i >= 890), i) for i in range(900)]
+    assert pages._pairs((new, *page, new), (("form", ()), *common, ("form", ()))) == [(i + 1, j + 1) for i, j in want]
+
+    def table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a) - 1, -1, -1), range(len(b) - 1, -1, -1)):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + pages._size(a[i], b[j]))
+        return best[0][0]
+
+    for n, m in ((1, 30), (30, 1), (7, 8), (40, 33), (450, 420)):
+        a, b = (tuple([*kinds, new][k] for k in rng.integers(0, 5, x)) for x in (n, m))
+        got = pages._pairs(a, b)
+        assert got == sorted(got) and all(x < y for p, q in itertools.pairwise(got) for x, y in zip(p, q, strict=True))
+        assert sum(pages._size(a[i], b[j]) for i, j in got) == table(a, b)
+
+
 def test_whole_texts_of_longer_licenses_in_any_wrap(spark, folder):
     import textwrap
 
