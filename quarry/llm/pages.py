@@ -312,7 +312,8 @@ def extract(pages: DataFrame) -> DataFrame:
     the seed's article are no evidence for a template. Malformed markup closes as browsers close it; nothing is cut off.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    order = F.struct(F.xxhash64("page_id"), F.xxhash64("html"))
+    blank = F.coalesce(~F.col("html").rlike(r">[^<>]*[^<>\s][^<>]*<|^[^<>]*[^<>\s]"), F.lit(True))  # a seed has texts, if any page has
+    order = F.struct(blank, F.xxhash64("page_id"), F.xxhash64("html"))
     seeds = stash(pages.groupBy("host").agg(F.min_by("html", order).alias("seed")), "seeds")
     small = (seeds.agg(F.sum(F.octet_length("seed"))).first()[0] or 0) <= SENT_BYTES
     with batch_rows(pages, 200):

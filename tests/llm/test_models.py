@@ -235,6 +235,14 @@ def test_pages_keep_articles(spark, sf):
 # licences
 
 
+def test_a_blank_page_is_no_seed(spark):
+    page = "<html><body><div>Same line of all</div><p>Article {0} of its own: {0} {0}</p></body></html>"
+    for empty, odd in itertools.product((None, "<html><body> </body></html>"), (0, 1)):  # the first page by its hash is blank in one of two cases
+        rows = [(i, "http://a.example/x", empty if i % 2 == odd else page.format(i)) for i in range(40)]
+        got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in got} == {i: "" if i % 2 == odd else f"Article {i} of its own: {i} {i}" for i in range(40)}
+
+
 def test_long_lists_of_children_are_matched_by_search():
     rng = np.random.default_rng(3)
     leaf = ("#", ())
