@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,8 @@ from quarry.sources.shared import new_path, purge, shared_dir, stash  # noqa: F4
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Arrow batches hold this many rows where rows are whole texts, so that a batch stays within a few MB.
-TEXT_BATCH = 250
+#: Bytes that an Arrow batch of whole texts holds on its way to Python, and that Python works on at once.
+TEXT_BYTES = 2 << 20
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -67,18 +69,26 @@ def trimmed(run):
     return out
 
 
-def tune(spark: SparkSession) -> None:
-    """Settings for tables of whole texts, for the rest of the session: small Arrow batches and small Parquet vectors.
+def chunks(batches, size: int = TEXT_BYTES, column: str = "text"):
+    """The rows of Arrow batches in batches of about `size` bytes of a string column, a longer text alone, whatever the session's batch size is."""
+    for b in batches:
+        n = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8"))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, to - at) if to - at < b.num_rows else b
+            at = to
+        if not b.num_rows:
+            yield b
 
-    Both are read when a plan runs, which for a returned DataFrame is after the operator's own code. With Spark's
-    defaults (10,000 and 4,096 rows) a batch of texts takes tens of MB on either side of the pipe to Python.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
+
+def text_settings(df: DataFrame):
+    """Context for plans over whole texts that run inside it: Arrow batches and Parquet vectors of a few MB. Undone at its end."""
+    return _Conf(df.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(TEXT_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "512"})
 
 
-def batch_rows(df: DataFrame, rows: int = TEXT_BATCH):
-    """Context in which Arrow batches of df's session hold so many rows. The size is read when a plan is made."""
+def batch_rows(df: DataFrame, rows: int):
+    """Context for plans that run inside it: Arrow batches of so many rows. Undone at its end."""
     return _Conf(df.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)})
 
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, batch_rows, pick, stash, trimmed
+from quarry.llm.common import SPACE, pick, stash, text_settings, trimmed
 
 #: Leading characters of the normalised text in the sort key.
 LEADING = 64
@@ -93,7 +93,7 @@ def content_sort(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     keyed = keyed.withColumn("sha", F.sha2("norm", 256)).withColumn("lead", F.substring("norm", 1, LEADING)).withColumn("less", -F.col("n_cp"))
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(partitions, "lead", "sha", "less", "doc_id", "at").sortWithinPartitions("lead", "sha", "norm", "less", "doc_id", "at")
-    with batch_rows(docs):
+    with text_settings(docs):
         runs = stash(ordered.select("doc_id", "at", "norm", "sha", "n_cp").mapInArrow(trimmed(_runs), RUNS), "exact")
     edges = runs.filter("edge")
     whole = edges.groupBy("norm").agg(F.sum("size").alias("all_size"), F.min(F.struct((-F.col("head_cp")).alias("less"), F.col("head"), F.col("part"), F.col("run"))).alias("first"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick, stash, trimmed
+from quarry.llm.common import batch_rows, chunks, pick, stash, trimmed
 
 #: A seed's text is template if this share of at least LEAST pages that have another article repeats it.
 SHARE, LEAST = 0.9, 3

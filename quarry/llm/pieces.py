@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import batch_rows, pick, trimmed
+from quarry.llm.common import chunks, pick, trimmed
 from quarry.llm.tokens import public
 
 #: What a character without a piece costs beyond the worst score.
@@ -144,7 +144,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tok
 def _encoded(path: str):
     def run(batches):
         model = pieces(path)
-        for b in batches:
+        for b in chunks(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [model.encode(t) for t in texts]
             at = np.cumsum([0, *map(len, ids)]).astype("i4")
@@ -170,8 +170,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     Whole texts of any length. Null and empty texts have no ids. A mark of the vocabulary (U+2581) in a text cannot be
     told from a space; it decodes to a space, and `exact` takes it as one. Repeated rows and null ids stay.
     """
-    with batch_rows(docs):
-        return docs.select("doc_id", "text").mapInArrow(trimmed(_encoded(model)), "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, exact boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(_encoded(model)), "doc_id long, ids array<int>, n_tokens long, decoded_crc32 long, exact boolean")
 
 
 def decode(ids: DataFrame, model: str) -> DataFrame:

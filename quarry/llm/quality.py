@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, batch_rows, pick, trimmed
+from quarry.llm.common import SPACE, chunks, pick, text_settings, trimmed
 from quarry.llm.words import FIT_ROWS, Words, held_out, labelled_ids
 
 DIM, TABLE, SEED = 32, 1 << 13, 5
@@ -106,7 +106,7 @@ def _contexts(vocabulary: list[str]):
 
     def run(batches):
         total = np.zeros((len(vocabulary), DIM), "i8")
-        for b in batches:
+        for b in chunks(batches):
             words = Words(b.column("text"))
             unique = words.unique.to_pylist()
             vector, of = index_vectors(unique), np.array([place.get(w, -1) for w in unique], "i8")
@@ -187,7 +187,7 @@ def _vectors(context: dict, token: int) -> Vectors:
 
 def _pooled(context, token: int):
     def run(batches):
-        for b in batches:
+        for b in chunks(batches):
             x = pooled(b.column("text"), _vectors(context.value, token))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
@@ -196,7 +196,7 @@ def _pooled(context, token: int):
 
 def _scored(context, model, token: int, keep_text: bool):
     def run(batches):
-        for b in batches:
+        for b in chunks(batches):
             names = [c for c in b.schema.names if keep_text or c != "text"]
             p = np.clip(np.round(model.probability(pooled(b.column("text"), _vectors(context.value, token))), 6), 0, 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=[*names, "score", "predicted"])
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     spark = docs.sparkSession
     # fit_rows rows at most
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled_ids(labels, fit_rows)), "doc_id")
-    with batch_rows(docs):
+    with text_settings(docs):
         counted = sample.select(F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''").groupBy("word").count()
         vocabulary = [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()]
         parts = sample.select("text").repartition(8).mapInArrow(_contexts(vocabulary), "total binary").collect() if vocabulary else []
@@ -235,8 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_tex
     """
     context, model, token = fit(docs, labels, fit_rows)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
-    with batch_rows(docs):
-        return docs.mapInArrow(trimmed(_scored(context, model, token, keep_text)), f"{schema}, score double, predicted int")
+    return docs.mapInArrow(trimmed(_scored(context, model, token, keep_text)), f"{schema}, score double, predicted int")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

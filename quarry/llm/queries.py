@@ -2,23 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from quarry.llm import exact, licenses, mixing, pages, pieces, quality, rules, shards, simhash, tokens
 
-from quarry.llm.common import tune
-
-
-def _tuned(run: Callable) -> Callable:
-    @wraps(run)
-    def query(spark, sf_dir):
-        tune(spark)
-        return run(spark, sf_dir)
-
-    return query
-
-
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sentencepiece": pieces.op2_sentencepiece,
@@ -31,6 +16,5 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_token_files": tokens.op10_token_files,
 }
-QUERIES = {name: _tuned(run) for name, run in QUERIES.items()}
 
 ORACLE_SQL = {"op6_license_scan": licenses.OP6_SQL, "op8_exact_dedup": exact.OP8_SQL}

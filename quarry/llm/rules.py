@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick, stash, trimmed
+from quarry.llm.common import chunks, pick, stash, text_settings, trimmed
 from quarry.llm.words import FIT_ROWS, Words, labelled_ids
 
 TREES, SUBSAMPLE, DEPTH, SEED = 200, 256, 14, 11
@@ -70,7 +70,7 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _measured(batches):
-    for b in batches:
+    for b in chunks(batches):
         s = statistics(b.column("text"))
         yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(s[k], pa.int64()) for k in COUNTS), *(pa.array(s[k], pa.float64()) for k in SHARES)], names=["doc_id", *COUNTS, *SHARES])
 
@@ -154,7 +154,7 @@ def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     base rules; where there are none, or none that are good, the base rules alone decide. Null and empty texts have no words and fail. Repeated rows and null ids
     stay. Whole texts are read.
     """
-    with batch_rows(docs):
+    with text_settings(docs):
         measured = stash(docs.select("doc_id", "text").mapInArrow(trimmed(_measured), ", ".join(["doc_id long", *(f"{k} long" for k in COUNTS), *(f"{k} double" for k in SHARES)])), "rules")
     # fit_rows rows at most
     ids = F.broadcast(labelled_ids(labels, fit_rows))

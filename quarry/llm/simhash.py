@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, pick, stash, trimmed
+from quarry.llm.common import batch_rows, chunks, pick, stash, text_settings, trimmed
 from quarry.llm.components import components
 
 BITS = 64
@@ -58,7 +58,7 @@ def _majority(h: np.ndarray, n: int) -> int:
 
 def _prints(shingle: int, seed: int):
     def run(batches):
-        for b in batches:
+        for b in chunks(batches):
             f = np.fromiter((fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()), "u8", b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(f.view("i8"))], names=[*(c for c in b.schema.names if c != "text"), "fp"])
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     Rows with a null doc_id take part and stay; component_id is null where no row of the component has an id. Repeated
     rows stay. An empty table gives an empty one.
     """
-    with batch_rows(docs):
+    with text_settings(docs):
         prints = stash(fingerprints(docs, shingle, seed), "prints")
     reps = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
     linked = components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp").join(reps, "fp")
@@ -234,7 +234,7 @@ def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
 
 def _sets(shingle: int):
     def run(batches):
-        for b in batches:
+        for b in chunks(batches):
             sets = [shingle_set(t, shingle).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(sets, pa.binary())], names=[*(c for c in b.schema.names if c != "text"), "set"])
 
@@ -302,7 +302,7 @@ def near_copies(docs: DataFrame, shingle: int, radius: int, least: float) -> Dat
     rows = docs.select("at", "doc_id", "text").join(found.join(groups, "root", "left_semi"), "at")
     rows = rows.select(F.monotonically_increasing_id().alias("id"), "at", "doc_id", "root", "text")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    with batch_rows(docs):
+    with text_settings(docs):
         rows = stash(rows.mapInArrow(trimmed(_sets(shingle)), f"{schema}, set binary"), "sets")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES)).cast("int")
     sized = stash(rows.groupBy("root").agg(blocks.alias("blocks")), "sized")
