@@ -2,7 +2,8 @@
 
 Pass one scatters records by seeded hashes: the shard is the one with the highest hash of (key, shard number), and inside
 a shard a second hash deals records evenly into buckets small enough for memory. Pass two shuffles each bucket (a seeded
-Fisher-Yates, F.shuffle) and lays the buckets of a shard one after the other.
+Fisher-Yates, F.shuffle) and lays the buckets of a shard one after the other. A bucket's number is its partition's, so
+that the draws depend on the seed and the bucket alone, however many shuffle partitions a session has.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ SHARDS = 24
 SEED = 20_240_117
 #: Bytes of records that a bucket holds on average.
 BUCKET_BYTES = 16 << 20
+#: Partitions of the second pass at most (beyond, one holds several buckets), and buckets whose counts are sent to all tasks.
+MAX_PARTS, SENT_BUCKETS = 50_000, 200_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -63,9 +66,13 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", size: str = "size",
     counts = keyed.groupBy("shard", "bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("shard", "bucket", before.alias("before"))
-    row = F.struct(F.xxhash64("__row", F.lit(seed + 2)).alias("h"), *(F.col(c) for c in df.columns), F.col("grown_shard"))
-    lists = keyed.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    row = F.struct(F.xxhash64("__row", "__copy", F.lit(seed + 2)).alias("h"), *(F.col(c) for c in df.columns), F.col("grown_shard"))
+    parts = min(shards * buckets, MAX_PARTS)
+    # no other plan may move a bucket to a partition of another number: each draws from a generator of its own
+    dealt = keyed.withColumn("part", ((F.col("shard") * buckets + F.col("bucket")) % parts).cast("int")).repartitionById(parts, "part")
+    lists = dealt.groupBy("part", "shard", "bucket").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     lists = lists.sortWithinPartitions("shard", "bucket").withColumn("rows", F.shuffle("rows", seed))
+    counts = F.broadcast(counts) if shards * buckets <= SENT_BUCKETS else counts
     out = lists.join(counts, ["shard", "bucket"]).select("shard", "bucket", "before", F.posexplode("rows").alias("pos", "row"))
     return out.select(*(F.col("row")[c].alias(c) for c in df.columns), "shard", F.col("row.grown_shard").alias("grown_shard"), "bucket", (F.col("before") + F.col("pos")).alias("slot"))
 

@@ -97,6 +97,40 @@ def test_shards_are_even_shuffled_and_repeatable(spark):
         assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.15
 
 
+def test_slots_do_not_depend_on_partitions(spark):
+    """Many shuffle partitions or few, coalesced or not, rows in any order: the same slots; one more shard takes what grown_shard says."""
+    rows = [(i, i % 100, str(i)) for i in range(1500)] + [(None, 5, str(i)) for i in range(400)] + [(7, 50, "same")] * 100
+    df = spark.createDataFrame(rows, "doc_id long, size long, text string")
+    seen, names = [], ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k, None) for k in names]
+    try:
+        for n, together in ((4, "true"), (9, "false"), (200, "true"), (200, "false")):
+            spark.conf.set(names[0], str(n))
+            spark.conf.set(names[1], together)
+            got = shards.shuffle_into_shards(df.repartition(n % 7 + 1), shards=6, bucket_bytes=2500)
+            seen.append(sorted(map(str, got.select("doc_id", "text", "shard", "bucket", "slot").collect())))
+    finally:
+        for k, v in zip(names, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert seen[0] == seen[1] == seen[2] == seen[3] and len(seen[0]) == len(rows)
+    as_said = {(r["doc_id"], r["text"], r["grown_shard"]) for r in got.collect()}
+    assert as_said == {(r["doc_id"], r["text"], r["shard"]) for r in shards.shuffle_into_shards(df, shards=7).collect()}
+
+
+def test_the_shard_is_the_highest_of_seeded_hashes(spark):
+    """Recomputed with another implementation of the hash, chained over key, seed and shard as Spark chains it."""
+    import xxhash
+
+    def h(value, size, seed):
+        return xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), seed)
+
+    got = shards.shuffle_into_shards(spark.range(300).selectExpr("id as doc_id", "id as size"), shards=5).collect()
+    for r in got:
+        hashes = [h(k, 4, h(shards.SEED, 4, h(r["doc_id"], 8, 42))) for k in range(5)]
+        signed = [x - (1 << 64) if x >> 63 else x for x in hashes]
+        assert r["shard"] == signed.index(max(signed))
+
+
 def test_written_shards_hold_whole_records_in_slot_order(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}", i + 9) for i in range(300)], "doc_id long, text string, size long")
     back = shards.write_shards(df, f"{tmp_path}/s", shards=4)
