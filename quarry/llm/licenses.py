@@ -1,7 +1,8 @@
 """License scans by canonical digests, in DataFrame functions only.
 
 A text is normalised (case, copyright lines, equivalent spellings, punctuation, white space), digested, and looked up by a
-hash join in a table of digests of known licence texts. The same lookup over single lines finds one-line notices.
+hash join in a table of digests of known licence texts. The same lookup over the lines of a row, in the row, finds
+one-line notices.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ WHOLE = [(name, pkgutil.get_data("quarry.llm", f"license_texts/{file}.txt").deco
 _END = "END OF TERMS AND CONDITIONS"
 #: The same without the appendix on how to apply them.
 WHOLE += [(name, text[: text.index(_END) + len(_END)]) for name, text in WHOLE if _END in text]
-#: Known texts that a table of digests may hold; more are refused.
-MAX_KNOWN = 100_000
+#: Known texts that a table of digests may hold; more are refused. Their digests also travel with the plan, for lines.
+MAX_KNOWN = 4_000
 
 
 def canonical(text: Column, notice: tuple[str, str] = COPYRIGHT_LINE) -> Column:
@@ -146,24 +147,30 @@ def digests(spark, known: list[tuple[str, str]]) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN + WHOLE) -> DataFrame:
-    """(doc_id, text) -> doc_id, digest, license_id, line_licenses: one row for each row.
+    """docs (doc_id, text, further columns) -> doc_id, digest, license_id, line_licenses: one row for each row, in one scan.
 
     `digest` is the SHA-256 of the canonical whole text and license_id the known licence with that digest, or with that of
     the text less true notices only (a sentence may be wrapped before "copyright"), else null. Null
     and empty texts have the digest of the empty text, which no licence has. line_licenses: sorted licences of the lines
-    that are a known text by themselves (empty if none; a line without the letters that some known text needs is not digested); rows that share a doc_id share it, and rows with a null id have
-    none. An empty table gives an empty one.
+    of this very row that are a known text by themselves (empty if none; a line without the letters that some known text
+    needs is not digested), whatever its id is. Further columns are left out. An empty table gives an empty one.
     """
-    table = F.broadcast(digests(docs.sparkSession, known))  # MAX_KNOWN rows at most
-    lines = docs.filter("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(F.lower("line").rlike("|".join(sorted({anchor(text) for _, text in known}))))  # no other line can match
-    hits = lines.select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(table, "digest")
-    hits = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("license_id")).alias("line_licenses"))
-    wrapped = F.when(F.lower("text").rlike(STARTS), F.sha2(canonical(F.col("text"), NOTICE), 256))
-    whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), wrapped.alias("wrapped")).join(table, "digest", "left")
-    again = F.broadcast(digests(docs.sparkSession, known).toDF("wrapped", "again"))  # the same table
-    whole = whole.join(again, "wrapped", "left").select("doc_id", "digest", F.coalesce("license_id", "again").alias("license_id"))
-    return whole.join(hits, "doc_id", "left").select("doc_id", "digest", "license_id", F.coalesce("line_licenses", F.array().cast("array<string>")).alias("line_licenses"))
+    table = digests(docs.sparkSession, known)
+    found = {r["digest"]: r["license_id"] for r in table.collect()}  # MAX_KNOWN texts at most, by lines and by notices
+    licence_of = F.create_map(*(F.lit(x) for pair in sorted(found.items()) for x in pair)) if found else F.lit(None).cast("map<string, string>")
+    needed = "|".join(sorted({anchor(text) for _, text in known}))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(needed))  # no other line can match
+    hits = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(licence_of, F.sha2(canonical(x), 256))), F.isnotnull)))
+    some = F.lower("text").rlike(needed) if found else F.lit(False)
+    rows = docs.select(
+        "doc_id",
+        F.sha2(canonical(F.col("text")), 256).alias("digest"),
+        F.when(F.lower("text").rlike(STARTS), F.sha2(canonical(F.col("text"), NOTICE), 256)).alias("wrapped"),
+        F.coalesce(F.when(some, hits), F.array().cast("array<string>")).alias("line_licenses"),
+    )
+    # MAX_KNOWN rows at most, twice
+    out = rows.join(F.broadcast(table), "digest", "left").join(F.broadcast(table.toDF("wrapped", "again")), "wrapped", "left")
+    return out.select("doc_id", "digest", F.coalesce("license_id", "again").alias("license_id"), "line_licenses")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -299,6 +299,15 @@ def test_licences(spark, folder, sf):
     assert licenses.op6_license_scan(spark, folder([])).count() == 0
 
 
+def test_licences_of_rows_that_share_an_id_or_have_none(spark, folder):
+    note = "Intro.\n  # Released under the MIT License.\nAnd\nLicensed under CC BY 4.0.\nLicensed under CC BY 4.0."
+    rows = [(None, note), (None, "plain"), (7, "plain"), (7, note), (7, note), (8, "clean\nlicence"), (9, None)]
+    got = licenses.op6_license_scan(spark, folder(rows)).collect()
+    assert sorted(((r["doc_id"], r["line_licenses"]) for r in got), key=str) == sorted([(None, "CC-BY-4.0,MIT"), (None, ""), (7, ""), (7, "CC-BY-4.0,MIT"), (7, "CC-BY-4.0,MIT"), (8, ""), (9, "")], key=str)
+    none = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), []).collect()
+    assert len(none) == len(rows) and all(r["license_id"] is None and r["line_licenses"] == [] for r in none)
+
+
 def test_licence_query(spark, sf):
     documents = ds.dataset(f"{sf}/documents.parquet").to_table()  # noqa: F841
     got = licenses.op6_license_scan(spark, sf)
