@@ -5,6 +5,11 @@ vector is at odds with v. At most `radius` differing bits give at most `radius`
 them all and its mask hides every differing bit: each pair within the radius meets in some table. Equal fingerprints are
 one node. A bucket yields a spanning forest, never all pairs; buckets of more than SPLIT fingerprints are split by a
 second and a third family of masks, which keep the same guarantee.
+
+Near copies by similarity (`near_copies`) differ in more bits than one set of masks can cover. There the fingerprint has
+128 bits; masks cover five bits of each half of the first 64 (126 tables), so that every pair meets of which one half
+differs in at most five, which holds for all pairs within 11 bits and for most beyond; all 128 bits then decide which
+pairs are candidates, and whole shingle sets which candidates are copies.
 """
 
 from __future__ import annotations
@@ -33,42 +38,67 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of the whole text; 0 for null or no words."""
+def _hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """Hash of each shingle of a text, repeats included; one for fewer words than a shingle, none without words."""
     words = _WORDS((text or "").encode().translate(_LOWER))
     if not words:
-        return 0
+        return np.empty(0, "u8")
     line = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        return _majority(np.array([xxhash.xxh64_intdigest(line, seed)], "u8"), 1)
+        return np.array([xxhash.xxh64_intdigest(line, seed)], "u8")
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
     pieces = (line[a:z] for a, z in zip(starts, stops, strict=True))
-    return _majority(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), "u8", n), n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), "u8", n)
+
 
+def _again(h: np.ndarray) -> np.ndarray:
+    """Further 64 bits of each hash, mixed from it."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
 
-def _majority(h: np.ndarray, n: int) -> int:
+
+def _majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
     ones = np.zeros(BITS, "i8")
-    for i in range(0, n, _CHUNK):
+    for i in range(0, len(h), _CHUNK):
         ones += np.unpackbits(h[i : i + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype="i8")
-    return int(np.packbits(ones * 2 > n).view(">u8")[0])
+    return int(np.packbits(ones * 2 > len(h)).view(">u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of the whole text; 0 for null or no words."""
+    return _majority(_hashes(text, shingle, seed))
 
 
-def _prints(shingle: int, seed: int):
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int]:
+    """The fingerprint, and 64 further bits from other bits of the same shingles."""
+    h = _hashes(text, shingle, seed)
+    return _majority(h), _majority(_again(h))
+
+
+def _prints(shingle: int, seed: int, wide: bool):
     def run(batches):
         for b in chunks(batches):
-            f = np.fromiter((fingerprint(t, shingle, seed) for t in b.column("text").to_pylist()), "u8", b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(f.view("i8"))], names=[*(c for c in b.schema.names if c != "text"), "fp"])
+            texts = b.column("text").to_pylist()
+            if wide:
+                both = np.array([wide_fingerprint(t, shingle, seed) for t in texts], "u8").reshape(-1, 2).T
+            else:
+                both = np.fromiter((fingerprint(t, shingle, seed) for t in texts), "u8", len(texts))[None]
+            names = [c for c in b.schema.names if c != "text"]
+            made = [pa.array(np.ascontiguousarray(x).view("i8")) for x in both]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, *("fp", "more")[: len(made)]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """docs with fp (the fingerprint as a signed long) in place of text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, wide: bool = False) -> DataFrame:
+    """docs with fp (the fingerprint as a signed long), and with `wide` more (its further bits), in place of text."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(trimmed(_prints(shingle, seed)), f"{schema}, fp long")
+    return docs.mapInArrow(trimmed(_prints(shingle, seed, wide)), f"{schema}, fp long" + ", more long" * wide)
 
 
 def _spread(radius: int, top: int) -> list[int]:
@@ -88,111 +118,166 @@ def covering_masks(radius: int = RADIUS, family: int = 0) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, top + 1)]
 
 
+#: Half a fingerprint's bits, and how many of them may differ.
+HALF, HALF_RADIUS = 32, 5
+#: Of all 128 bits, those in which candidates may differ. A similarity of 0.8 differs in 19 on average, seldom in more than 28.
+WIDE_RADIUS = 28
+
+
+def half_masks(family: int = 0) -> list[int]:
+    """126 masks: any HALF_RADIUS bits of a half are outside at least one mask of that half. Each keeps 16 bits or the whole half."""
+    vectors = [HALF + i for i in range(HALF)]  # with a leading one, so that every other vector is at odds with half of them, or all
+    if family:
+        random.Random(family).shuffle(vectors)
+    masks = [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() & 1) for v in range(1, 2 * HALF)]
+    return [m << shift for shift in (0, HALF) for m in masks]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(nodes: DataFrame, radius: int, family: int, within: Column | None) -> DataFrame:
-    """(fp, key): a key for each table; what shares a key only by a hash collision is told apart by the comparison."""
-    masks = covering_masks(radius, family)
+def _keys(nodes: DataFrame, masks: list[int], within: Column | None) -> DataFrame:
+    """nodes with key: one for each table; what shares a key only by a hash collision is told apart by the comparison."""
     keys = F.array(*(F.xxhash64(*([within] if within is not None else []), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)))
-    return nodes.select("fp", F.explode(keys).alias("key"))
+    return nodes.select(F.explode(keys).alias("key"), *(c for c in nodes.columns if c != "key"))
 
 
-def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Edges (fingerprint, smallest of its component) that connect sorted fingerprints as all pairs within the radius would."""
-    a, b, left = [], [], fps.view("u8")
+def _near(radius: int):
+    """Whether fingerprints (arrays of one column) are within the radius of others."""
+
+    def close(x, y):
+        return np.bitwise_count(x[:, 0] ^ y[..., 0]) <= radius
+
+    return close
+
+
+def _near_half(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether wide fingerprints (arrays of two columns) have a near half and are near over all bits."""
+    d, more = x[:, 0] ^ y[..., 0], x[:, 1] ^ y[..., 1]
+    low, high = np.bitwise_count(d & np.uint64(0xFFFFFFFF)), np.bitwise_count(d >> np.uint64(HALF))
+    return (np.minimum(low, high) <= HALF_RADIUS) & (low + high + np.bitwise_count(more) <= WIDE_RADIUS)
+
+
+def _forest(ids: np.ndarray, bits: np.ndarray, close) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges (id, smallest of its component) that connect rows, sorted by id, as all close pairs would."""
+    a, b, left = [], [], np.arange(len(ids))
     while len(left) > 1:
         root, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= radius
+            near = close(bits[left], bits[front.pop()])
             if near.any():
                 found, left = left[near], left[~near]
                 front.extend(found)
-                a.append(found.view("i8"))
-                b.append(np.full(len(found), root).view("i8"))
+                a.append(ids[found])
+                b.append(np.full(len(found), ids[root]))
+    return a, b
+
+
+#: Rows of a bucket whose pairs are compared for many buckets at once.
+SMALL = 64
+
+
+def _bucket_edges(key, ids, bits, close) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of whole buckets, rows sorted by key and id."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(starts, len(key)))
+    bucket = np.repeat(np.arange(len(starts)), size)
+    some, low, high = size > SMALL, [], []
+    at = np.flatnonzero(~some[bucket])
+    for k in range(1, int(size[~some].max(initial=0))):
+        i = at[: len(at) - k] if k < len(at) else at[:0]
+        i = i[(i + k < len(key)) & (bucket[i] == bucket[np.minimum(i + k, len(key) - 1)])]
+        if not len(i):
+            break
+        i = i[close(bits[i + k], bits[i])]
+        low.append(i)
+        high.append(i + k)
+    low, high = (np.concatenate(x) if x else np.empty(0, "i8") for x in (low, high))
+    pairs = np.bincount(bucket[low], minlength=len(starts)) if len(low) else np.zeros(len(starts), "i8")
+    few = pairs[bucket[low]] < 3 if len(low) else np.empty(0, bool)
+    a, b = [ids[high[few]]], [ids[low[few]]]
+    for i in np.flatnonzero(some | (pairs > 2)):
+        part = slice(starts[i], starts[i] + size[i])
+        x, y = _forest(ids[part], bits[part], close)
+        a += x
+        b += y
     return a, b
 
 
-def _compared(radius: int, split: int | None):
-    """Rows (key, fp), sorted: edges (a, b, null) of each bucket, or, of a bucket of more than `split`, its rows (fp, null, key)."""
+def _compared(names: list[str], close, split: int | None):
+    """Rows (key, id, bits), sorted: edges (a, b) of each bucket, or, of a bucket of more than `split`, its rows (a, null, key, bits)."""
 
-    def out(a, b, key):
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, "i8")
-        a, b, key = cat(a), cat(b), cat(key)
+    def out(a, b, big):
+        a, b = (np.concatenate(x) if x else np.empty(0, "i8") for x in (a, b))
+        key, ids, bits = (np.concatenate(x) for x in zip(*big, strict=True)) if big else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty((0, len(names)), "u8"))
         n, m = len(b), len(key)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.concat_arrays([pa.array(b), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(key)])], names=["a", "b", "key"])
+        later = lambda x: pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.ascontiguousarray(x).view("i8"))])
+        columns = [pa.array(np.concatenate([a, ids])), pa.concat_arrays([pa.array(b), pa.nulls(m, pa.int64())]), later(key), *(later(x) for x in bits.T)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key", *names])
 
     def run(batches):
-        last, held, large = None, np.empty(0, "i8"), False  # the bucket that may go on in the next batch
+        held = None  # rows of the bucket that may go on in the next batch
+        large = None  # the bucket already found too large
         for batch in batches:
-            key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            if last is not None:
-                key = np.concatenate([np.full(len(held), last), key])
-                fp = np.concatenate([held, fp])
+            key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            bits = np.stack([batch.column(c).to_numpy() for c in names], 1).view("u8")
+            if held is not None:
+                key, ids, bits = np.concatenate([held[0], key]), np.concatenate([held[1], ids]), np.concatenate([held[2], bits])
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            a, b, big_fp, big_key = [], [], [], []
-            if large and key[0] == last:  # a bucket already found too large
-                big_fp.append(fp[: ends[0]])
-                big_key.append(key[: ends[0]])
-                starts, ends = starts[1:], ends[1:]
-                if not len(starts):
-                    held = np.empty(0, "i8")
-                    yield out([*a, *big_fp], b, big_key)
-                    continue
-            tail = starts[-1]
-            if split is not None and len(key) - tail > split:
-                big_fp.append(fp[tail:])
-                big_key.append(key[tail:])
-                last, held, large = key[tail], np.empty(0, "i8"), True
+            if split is None:
+                big = np.zeros(len(starts), bool)
             else:
-                last, held, large = key[tail], fp[tail:].copy(), False
-            starts, ends = starts[:-1], ends[:-1]
+                big = (ends - starts > split) | (key[starts] == large if large is not None else False)
+            held = None
+            if big[-1]:
+                large = key[-1]
+            else:
+                held = tuple(x[starts[-1] :].copy() for x in (key, ids, bits))
             size = ends - starts
-            two = starts[size == 2]
-            close = two[np.bitwise_count(fp[two].view("u8") ^ fp[two + 1].view("u8")) <= radius]
-            a.append(fp[close + 1])
-            b.append(fp[close])
-            for i, j in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                if split is not None and j - i > split:
-                    big_fp.append(fp[i:j])
-                    big_key.append(key[i:j])
-                else:
-                    x, y = _forest(np.sort(fp[i:j]), radius)
-                    a += x
-                    b += y
-            yield out([*a, *big_fp], b, big_key)
-        if last is not None and not large:
-            yield out(*_forest(np.sort(held), radius), [])
+            whole = ~np.repeat(big, size)
+            whole[starts[-1] :] = False
+            gone = np.repeat(big, size)
+            a, b = _bucket_edges(key[whole], ids[whole], bits[whole], close) if whole.any() else ([], [])
+            yield out(a, b, [(key[gone], ids[gone], bits[gone])] if gone.any() else [])
+        if held is not None:
+            yield out(*_bucket_edges(*held, close), [])
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(fp) distinct longs -> (a, b): edges that connect exactly what pairs within the radius connect.
+def links(nodes: DataFrame, masks, close, split: int = SPLIT) -> DataFrame:
+    """(id, fp, perhaps further bits), ids distinct longs -> (a, b): edges that connect exactly what close pairs connect.
 
-    Keys travel once, sorted by bucket; a task reads its buckets as a stream and holds at most `split` rows of one. Larger
-    buckets go through further families of masks inside the bucket; after the third, seven of 64 bits or so are left free.
+    `masks(family)` gives the tables. Keys travel once, sorted by bucket; a task reads its buckets as a stream and holds at most `split` rows of one. Larger
+    buckets go through further families of masks inside the bucket; what three families leave together is compared as it is.
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [c for c in nodes.columns if c != "id"]
+    schema = "a long, b long, key long, " + ", ".join(f"{c} long" for c in names)
     # a small table that grows by the number of tables: spread before it is exploded
     members, edges = nodes.repartition(n), None
     for family in range(3):
-        keys = _keys(members, radius, family, F.col("key") if family else None)
-        ordered = keys.repartition(n, "key").sortWithinPartitions("key", "fp")
+        keys = _keys(members, masks(family), F.col("key") if family else None)
+        ordered = keys.repartition(n, "key").sortWithinPartitions("key", "id")
         with batch_rows(nodes, 1 << 16):
-            found = stash(ordered.select("key", "fp").mapInArrow(trimmed(_compared(radius, split if family < 2 else None)), "a long, b long, key long"), "links")
+            found = stash(ordered.select("key", "id", *names).mapInArrow(trimmed(_compared(names, close, split if family < 2 else None)), schema), "links")
         some = found.filter("b is not null").select("a", "b")
         edges = some if edges is None else edges.union(some)
-        members = found.filter("b is null").select(F.col("a").alias("fp"), "key")
+        members = found.filter("b is null").select(F.col("a").alias("id"), *names, "key")
         if family == 2 or not members.take(1):
             return edges.distinct()
     raise AssertionError
 
 
+def near_links(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
+    """(fp) distinct -> (a, b): edges between fingerprints that connect what pairs within the radius connect."""
+    return links(prints.select(F.col("fp").alias("id"), "fp"), lambda family: covering_masks(radius, family), _near(radius), split)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """docs (doc_id, text, further columns) -> doc_id, further columns, fp, root, component_id: one row for each row.
 
@@ -204,7 +289,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     with text_settings(docs):
         prints = stash(fingerprints(docs, shingle, seed), "prints")
     reps = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")
-    linked = components(links(reps.select("fp"), radius)).withColumnRenamed("node", "fp").join(reps, "fp")
+    linked = components(near_links(reps.select("fp"), radius)).withColumnRenamed("node", "fp").join(reps, "fp")
     linked = stash(linked, "linked")
     lowest = stash(linked.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     named = reps.join(linked.join(lowest, "root").select("fp", "root", "component_id"), "fp", "left")
@@ -225,11 +310,7 @@ BLOCK_ROWS, BLOCK_BYTES = 1 << 10, 1 << 20
 
 def shingle_set(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
     """Sorted hashes of the different shingles of a text; one for fewer words than a shingle, none without words."""
-    words = _WORDS((text or "").encode().translate(_LOWER))
-    if not words:
-        return np.empty(0, "u8")
-    pieces = (b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), "u8"))
+    return np.unique(_hashes(text, shingle, seed))
 
 
 def _sets(shingle: int):
@@ -289,15 +370,27 @@ def _verified(least: float):
     return run
 
 
-def near_copies(docs: DataFrame, shingle: int, radius: int, least: float) -> DataFrame:
+def candidate_groups(docs: DataFrame, shingle: int) -> DataFrame:
+    """(text, at) -> (at, root): rows linked, directly or over others, by wide fingerprints with a near half. Equal ones are one node."""
+    with text_settings(docs):
+        prints = stash(fingerprints(docs.select("at", "text"), shingle, wide=True), "prints")
+    reps = stash(prints.select("fp", "more").distinct().withColumn("id", F.monotonically_increasing_id()), "reps")
+    linked = stash(components(links(reps.select("id", "fp", "more"), half_masks, _near_half)).toDF("id", "root"), "linked")
+    named = reps.join(linked, "id", "left").select("fp", "more", F.coalesce("root", "id").alias("root"))
+    return prints.join(named, ["fp", "more"]).select("at", "root")
+
+
+def near_copies(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(doc_id, text, at), at naming the row -> (at): the rows to drop.
 
-    Fingerprints within the radius, and chains of them, make candidate groups. Inside a group every pair is held against
-    `least` by its shingle sets, whatever its bits; rows linked by similar pairs, directly or over others, are one group of
-    copies, of which the one with the smallest doc_id stays (a null one last, then the smallest `at`). Large groups are
-    dealt into blocks, and each pair of blocks is one row of work.
+    Inside a group of candidates every pair is held against `least` by its shingle sets, whatever its bits; rows linked by
+    similar pairs, directly or over others, are one group of copies, of which the one with the smallest doc_id stays (a
+    null one last, then the smallest `at`). So nothing goes that no similar pair links; a similar pair may be missed only
+    if both halves of its fingerprints differ in more than HALF_RADIUS bits, or all bits in more than WIDE_RADIUS, and no
+    other rows link it. Large groups are dealt into blocks, and each pair of blocks is one row of work. Null, empty and
+    blank texts have no shingles and are copies of each other.
     """
-    found = stash(near_duplicates(docs.select("doc_id", "text", "at"), shingle, radius).select("at", "root"), "found")
+    found = stash(candidate_groups(docs, shingle), "found")
     groups = stash(found.groupBy("root").count().filter("count > 1").select("root"), "groups")
     rows = docs.select("at", "doc_id", "text").join(found.join(groups, "root", "left_semi"), "at")
     rows = rows.select(F.monotonically_increasing_id().alias("id"), "at", "doc_id", "root", "text")
