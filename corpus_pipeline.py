@@ -14,9 +14,8 @@ from quarry.llm import exact, mixing, pieces, quality, simhash
 from quarry.llm.common import located, n_words, new_path, pick
 from quarry.llm.tokens import public
 
-#: Near copies: words of a shingle, bits in which fingerprints of candidates may differ, and the similarity of copies.
-#: A similarity of 0.8 differs in ten bits on average, one of 0.95 in four; every further bit doubles the tables.
-SHINGLE, RADIUS, SIMILARITY = 5, 7, 0.8
+#: Near copies: words of a shingle, and the similarity of two copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -55,7 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, linked by similar pairs directly or over others: the one with the smallest doc_id."""
     plain, names = _plain(docs)
     plain = located(plain)
-    gone = simhash.near_copies(plain.select("doc_id", "text", F.col("__at").alias("at")), SHINGLE, RADIUS, SIMILARITY)
+    gone = simhash.near_copies(plain.select("doc_id", "text", F.col("__at").alias("at")), SHINGLE, SIMILARITY)
     return plain.join(gone.withColumnRenamed("at", "__at"), "__at", "left_anti").drop("__at").toDF(*names)
 
 
