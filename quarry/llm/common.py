@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.sources.shared import new_path, purge, shared_dir, stash  # noqa: F401
 
@@ -33,6 +34,13 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*out)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, in any case: an operator makes its own."""
+    gone = {n.lower() for n in names}
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in gone]
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{i}").alias(df.columns[i]) for i in keep))
+
+
 def located(df: DataFrame, name: str = "__at") -> DataFrame:
     """df with a column that tells each row from all others and stays the same when the row is read again: file and row number.
 
@@ -50,6 +58,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def copies(keyed: DataFrame) -> DataFrame:
+    """keyed (__row, the hash of a row) with __copy: equal rows numbered from 0, in parts, so that no task has all of them."""
+    repeated = keyed.groupBy("__row").count().filter("count > 1").select("__row")
+    if not repeated.take(1):
+        return keyed.withColumn("__copy", F.lit(0).cast("long"))
+    keyed = stash(keyed.withColumn("__id", F.monotonically_increasing_id()), "keyed")
+    rows = keyed.select("__row", "__id", F.shiftright("__id", 33).alias("part")).join(stash(repeated, "repeated"), "__row", "left_semi")
+    # a part holds what one task wrote
+    rows = rows.select("__row", "__id", "part", F.row_number().over(Window.partitionBy("__row", "part").orderBy("__id")).alias("nth"))
+    rows = stash(rows, "nth")
+    earlier = F.sum("n").over(Window.partitionBy("__row").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy("__row", "part").agg(F.count("*").alias("n")).select("__row", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    numbered = rows.join(parts, ["__row", "part"]).select("__id", (F.col("earlier") + F.col("nth") - 1).alias("__copy"))
+    return keyed.join(stash(numbered, "copies"), "__id", "left").drop("__id").withColumn("__copy", F.coalesce("__copy", F.lit(0).cast("long")))
+
+
 def trim() -> None:
     """Give a Python worker's freed memory back: workers live on after a task, beside the next ones."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import n_words, pick, stash
+from quarry.llm.common import copies, n_words, pick, stash
 
 CAP = 3
 SEED = 7_919
@@ -53,7 +53,10 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
 
 
 def solve_rates(hist: DataFrame, sizes: list[int], want: list[float], means: list[float], cap: float = CAP) -> list[float]:
-    """The lambda of each source (in units of 1 / mean size); infinite where the target takes the cap of every document."""
+    """The lambda of each source (in units of 1 / mean size); infinite where the target takes the cap of every document.
+
+    Raises ArithmeticError where MAX_STEPS do not bring every source within TOLERANCE of its target.
+    """
     spark = hist.sparkSession
     lam = [0.0 if w < cap * s * (1 - 1e-12) else math.inf for s, w in zip(sizes, want, strict=True)]
     low, high = [-math.inf] * len(lam), [math.inf] * len(lam)
@@ -83,6 +86,8 @@ def solve_rates(hist: DataFrame, sizes: list[int], want: list[float], means: lis
             lam[i] = step
             still.append(i)
         open_ = still
+    if open_:
+        raise ArithmeticError(f"{len(open_)} sources are not within {TOLERANCE} of their targets after {MAX_STEPS} steps")
     return lam
 
 
@@ -105,9 +110,14 @@ def mix(docs: DataFrame, weights: Callable[[int], float] = cycle_weights, cap: i
 
     Null sizes count as 0. A null source is a source, last in order. Documents of size 0 get one copy each; they add
     nothing to any sum. Equal rows each get copies of their own. Which documents of a stratum get one copy more is decided
-    by a seeded hash of the id, ties by the further columns, so reruns agree. An empty table gives an empty one.
+    by a seeded hash of the whole row and, of equal rows, the number of the copy, so reruns agree and a common id fills no
+    bucket. Columns named as the new ones are replaced; of columns whose names differ in case only the first counts. An
+    empty table gives an empty one.
     """
     spark = docs.sparkSession
+    made = {"source_size", "target", "copies", "taken"}
+    first = {n.lower(): i for i, n in reversed(list(enumerate(docs.columns)))}
+    docs = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).select(*(F.col(f"c{i}").alias(docs.columns[i]) for n, i in sorted(first.items(), key=lambda x: x[1]) if n not in made))
     docs = stash(docs.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")), "sized")
     hist = stash(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "hist")
     by_source = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n"))
@@ -118,32 +128,37 @@ def mix(docs: DataFrame, weights: Callable[[int], float] = cycle_weights, cap: i
     want = targets(sizes, [weights(i) for i in range(len(rows))], cap)
     means = [max(1.0, r["size"] / r["n"]) for r in rows]
     # one row for each source, at most MAX_SOURCES
-    names = F.broadcast(spark.createDataFrame([(i, r["source"], sizes[i], want[i], means[i]) for i, r in enumerate(rows)], "sid int, name string, source_size long, target double, mean double"))
-    named: Callable[[DataFrame], DataFrame] = lambda df: df.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    hist = stash(named(hist).select("sid", "size", "n"), "hist")
+    names = F.broadcast(spark.createDataFrame([(i, r["source"], sizes[i], want[i], means[i]) for i, r in enumerate(rows)], "__sid int, __name string, source_size long, target double, __mean double"))
+    named: Callable[[DataFrame], DataFrame] = lambda df: df.join(names, F.col("source").eqNullSafe(F.col("__name"))).drop("__name")
+    hist = stash(named(hist).select(F.col("__sid").alias("sid"), "size", "n"), "hist")
     lam = solve_rates(hist, sizes, want, means, cap)
     tilt = F.broadcast(spark.createDataFrame([(i, x if math.isfinite(x) else None, means[i]) for i, x in enumerate(lam)], "sid int, lam double, mean double"))
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.coalesce(F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("mean"))), F.lit(float(cap))))
     strata = hist.join(tilt, "sid").select("sid", "size", "n", rate.alias("rate"))
-    # a group has one row for each different size of its source
+    # a group has one row for each different size of its source: at most as many as its longest document has words, whatever the rows
     strata = stash(strata.groupBy("sid").applyInPandas(_rounded(cap), "sid int, size long, n long, k long"), "strata")
     return _deal(named(docs), strata, seed)
 
 
 def _deal(docs: DataFrame, strata: DataFrame, seed: int) -> DataFrame:
     """Deal the k copies of each stratum to its documents; large strata in buckets by hash, each with its share of k."""
-    own = [c for c in docs.columns if c not in ("sid", "mean")]
-    h: Column = F.xxhash64("doc_id", F.lit(seed))
-    keyed = docs.join(strata, ["sid", "size"]).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.ceil(F.col("n") / BUCKET_ROWS)))
-    keyed = stash(keyed.select(*own, "sid", "bucket", "n", "k"), "keyed")
+    own = [c for c in docs.columns if c not in ("__sid", "__mean")]
+    size = own.index("size")
+    # by position from here on, so that the caller's names cannot meet those used here
+    docs = copies(docs.withColumn("__row", F.xxhash64(*own)))
+    docs = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(own)), F.col("size"), F.col("__sid").alias("sid"), F.col("__row").alias("row"), F.col("__copy").alias("copy"))
+    names, own = own, [f"c{i}" for i in range(len(own))]
+    h: Column = F.xxhash64("row", "copy", F.lit(seed))
+    keyed = docs.join(strata, ["sid", "size"]).withColumn("bucket", F.pmod(F.xxhash64("row", "copy", F.lit(seed + 1)), F.ceil(F.col("n") / BUCKET_ROWS)))
+    keyed = stash(keyed.select(*own, "size", "sid", "row", "copy", "bucket", "n", "k"), "keyed")
     upto = Window.partitionBy("sid", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = keyed.groupBy("sid", "size", "bucket").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("k").alias("k")).withColumn("upto", F.sum("m").over(upto))
     share = lambda x: F.floor(F.col("k").cast("decimal(38,0)") * x / F.col("n")).cast("long")
     counts = counts.select("sid", "size", "bucket", "m", (share(F.col("upto")) - share(F.col("upto") - F.col("m"))).alias("kb"))
     rank = F.row_number().over(Window.partitionBy("sid", "size", "bucket").orderBy(h, *own))
-    copies = (F.expr("kb div m") + (F.col("rank") <= F.col("kb") % F.col("m")).cast("long")).alias("copies")
-    out = keyed.withColumn("rank", rank).join(counts, ["sid", "size", "bucket"]).select(*own, copies)
-    return out.withColumn("taken", F.col("copies") * F.col("size"))
+    taken = (F.expr("kb div m") + (F.col("rank") <= F.col("kb") % F.col("m")).cast("long")).alias("copies")
+    out = keyed.withColumn("rank", rank).join(counts, ["sid", "size", "bucket"]).select(*own, taken)
+    return out.select(*(F.col(c).alias(n) for c, n in zip(own, names, strict=True)), "copies", (F.col("copies") * F.col(own[size])).alias("taken"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, chunks, pick, text_settings, trimmed
+from quarry.llm.common import SPACE, chunks, pick, stash, text_settings, trimmed, without
 from quarry.llm.words import FIT_ROWS, Words, held_out, labelled_ids
 
 DIM, TABLE, SEED = 32, 1 << 13, 5
@@ -207,9 +207,10 @@ def _scored(context, model, token: int, keep_text: bool):
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     """(broadcast context vectors, model, token of the fit) from at most `fit_rows` labelled rows that are not held out."""
     spark = docs.sparkSession
-    # fit_rows rows at most
+    # fit_rows rows at most; their texts are read several times
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled_ids(labels, fit_rows)), "doc_id")
     with text_settings(docs):
+        sample = stash(sample, "sample")
         counted = sample.select(F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''").groupBy("word").count()
         vocabulary = [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()]
         parts = sample.select("text").repartition(8).mapInArrow(_contexts(vocabulary), "total binary").collect() if vocabulary else []
@@ -231,8 +232,9 @@ def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_tex
     The text stays only with keep_text.
     Whole texts are read; null and empty texts are scored like a text without words. Labels, languages, sources and ids
     are no inputs of a score. Repeated rows and null ids stay. With labels of one class, or none, every score is the share
-    of label 1, or 0.5.
+    of label 1, or 0.5. Columns named score or predicted are replaced.
     """
+    docs = without(docs, "score", "predicted")
     context, model, token = fit(docs, labels, fit_rows)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
     return docs.mapInArrow(trimmed(_scored(context, model, token, keep_text)), f"{schema}, score double, predicted int")

@@ -20,6 +20,8 @@ from quarry.llm.words import FIT_ROWS, Words, labelled_ids
 
 TREES, SUBSAMPLE, DEPTH, SEED = 200, 256, 14, 11
 GOOD_COST = 5
+#: Bins of the anomaly score in which labelled rows are counted.
+BINS = 1 << 14
 SYMBOLS = "#*$%&|<>"
 _LINE_WORD = re.compile(r"[^\x20\x09-\x0D]").search
 
@@ -124,17 +126,29 @@ def mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, good_cost: float = GOOD_COST) -> float:
-    """The score from which on to reject, at the least cost on labelled rows; without bad rows nothing is rejected."""
+def threshold(scores: np.ndarray, good: np.ndarray, good_cost: float = GOOD_COST, n: np.ndarray | None = None) -> float:
+    """The score from which on to reject, at the least cost on labelled rows; without bad rows nothing is rejected.
+
+    With n, scores are the lower ends of bins that hold n rows each, and the threshold is one of them.
+    """
     if not good.any() or good.all():
         return np.inf
     order = np.argsort(-scores, kind="stable")
     s, g = scores[order], good[order]
-    cost = np.concatenate([[0], np.cumsum(np.where(g, good_cost, -1))])
+    cost = np.concatenate([[0], np.cumsum(np.where(g, good_cost, -1) * (1 if n is None else n[order]))])
     last = np.concatenate([[True], s[1:] != s[:-1], [True]])  # rows of one score go together
     cost = np.where(last, cost, np.inf)
     k = int(np.argmin(cost))
-    return float("inf") if k == 0 else float(s[k - 1] if k == len(s) else (s[k - 1] + s[k]) / 2)
+    return float("inf") if k == 0 else float(s[k - 1] if k == len(s) or n is not None else (s[k - 1] + s[k]) / 2)
+
+
+def _binned(forest: IsolationForest):
+    def run(batches):
+        for b in batches:
+            score = forest.score(np.stack([b.column(k).to_numpy() for k in SHARES], 1)) if b.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([pa.array((score * BINS).astype("i4")), b.column("quality")], names=["bin", "quality"])
+
+    return run
 
 
 def _judged(forest: IsolationForest, limit: float):
@@ -150,18 +164,23 @@ def _judged(forest: IsolationForest, limit: float):
 def judge(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, text) and labels (doc_id, quality) -> doc_id, the counts, base_failed, kept, anomaly: one row for each row.
 
-    The forest is grown from the good ones of, and its threshold set on, at most `fit_rows` labelled rows that pass the
-    base rules; where there are none, or none that are good, the base rules alone decide. Null and empty texts have no words and fail. Repeated rows and null ids
+    The forest is grown from the good ones of at most `fit_rows` labelled rows that pass the base rules; the range of its
+    splits and its threshold (by a histogram of BINS scores) come from all such rows. Where there are none, or none that
+    are good, the base rules alone decide. Null and empty texts have no words and fail. Repeated rows and null ids
     stay. Whole texts are read.
     """
     with text_settings(docs):
         measured = stash(docs.select("doc_id", "text").mapInArrow(trimmed(_measured), ", ".join(["doc_id long", *(f"{k} long" for k in COUNTS), *(f"{k} double" for k in SHARES)])), "rules")
+    passed = measured.filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").select("doc_id", *SHARES)
+    labelled = stash(passed.join(labelled_ids(labels, None), "doc_id").distinct(), "labelled")
     # fit_rows rows at most
-    ids = F.broadcast(labelled_ids(labels, fit_rows))
-    sample = measured.filter("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(ids, "doc_id").select("doc_id", "quality", *SHARES).distinct().toPandas().sort_values(["doc_id", *SHARES])
-    x, good = sample[SHARES].to_numpy("f8"), sample["quality"].to_numpy() == 1
-    forest = IsolationForest(x[good], *(x.min(0), x.max(0)) if len(x) else (None, None))
-    limit = threshold(forest.score(x), good)
+    sample = labelled.filter("quality = 1").join(F.broadcast(labelled_ids(labels, fit_rows).select("doc_id")), "doc_id").toPandas().sort_values(["doc_id", *SHARES])
+    ends = labelled.agg(*(f(k) for f in (F.min, F.max) for k in SHARES)).first()
+    low, high = np.array(ends[: len(SHARES)], "f8"), np.array(ends[len(SHARES) :], "f8")
+    forest = IsolationForest(sample[SHARES].to_numpy("f8"), low, high)
+    counted = labelled.mapInArrow(_binned(forest), "bin int, quality int").groupBy("bin", "quality").count().collect()  # two rows a bin at most
+    bins = np.array([(r["bin"], r["quality"], r["count"]) for r in sorted(counted)], "i8").reshape(-1, 3)
+    limit = threshold(bins[:, 0] / BINS, bins[:, 1] == 1, n=bins[:, 2]) if len(sample) else np.inf
     return measured.mapInArrow(_judged(forest, limit), ", ".join(["doc_id long", *(f"{k} long" for k in COUNTS), "base_failed boolean", "kept boolean", "anomaly double"]))
 
 

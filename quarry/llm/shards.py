@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import new_path, pick, stash
+from quarry.llm.common import copies, new_path, pick
 
 SHARDS = 24
 SEED = 20_240_117
@@ -29,22 +29,6 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*(F.struct(F.xxhash64(key, F.lit(seed), F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in range(shards))))["k"]
 
 
-def _copies(keyed: DataFrame) -> DataFrame:
-    """keyed (__row, the hash of a row) with __copy: equal rows numbered from 0, in parts, so that no task has all of them."""
-    repeated = keyed.groupBy("__row").count().filter("count > 1").select("__row")
-    if not repeated.take(1):
-        return keyed.withColumn("__copy", F.lit(0).cast("long"))
-    keyed = stash(keyed.withColumn("__id", F.monotonically_increasing_id()), "shards")
-    rows = keyed.select("__row", "__id", F.shiftright("__id", 33).alias("part")).join(stash(repeated, "repeated"), "__row", "left_semi")
-    # a part holds what one task wrote
-    rows = rows.select("__row", "__id", "part", F.row_number().over(Window.partitionBy("__row", "part").orderBy("__id")).alias("nth"))
-    rows = stash(rows, "nth")
-    earlier = F.sum("n").over(Window.partitionBy("__row").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = rows.groupBy("__row", "part").agg(F.count("*").alias("n")).select("__row", "part", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    numbered = rows.join(parts, ["__row", "part"]).select("__id", (F.col("earlier") + F.col("nth") - 1).alias("__copy"))
-    return keyed.join(stash(numbered, "copies"), "__id", "left").drop("__id").withColumn("__copy", F.coalesce("__copy", F.lit(0).cast("long")))
-
-
 def shuffle_into_shards(df: DataFrame, key: str = "doc_id", size: str = "size", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df's rows with shard, grown_shard (with one more shard), bucket and slot (gapless from 0 in its shard).
 
@@ -61,7 +45,7 @@ def shuffle_into_shards(df: DataFrame, key: str = "doc_id", size: str = "size",
     )
     total = keyed.agg(F.sum(size).alias("n")).first()["n"] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    keyed = _copies(keyed.withColumn("__row", F.xxhash64(*df.columns, F.lit(seed + 1))))
+    keyed = copies(keyed.withColumn("__row", F.xxhash64(*df.columns, F.lit(seed + 1))))
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("__row", "__copy", F.lit(seed + 1)), F.lit(buckets)))
     counts = keyed.groupBy("shard", "bucket").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

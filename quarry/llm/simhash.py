@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, chunks, pick, stash, text_settings, trimmed
+from quarry.llm.common import batch_rows, chunks, pick, stash, text_settings, trimmed, without
 from quarry.llm.components import components
 
 BITS = 64
@@ -284,8 +284,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     root is the smallest fingerprint of a component (as a signed long) and so names it; component_id is the smallest doc_id reachable over fingerprints that differ in at most `radius` bits. Null, empty and
     blank texts have fingerprint 0 and are linked like any other. A text of fewer words than a shingle is one shingle.
     Rows with a null doc_id take part and stay; component_id is null where no row of the component has an id. Repeated
-    rows stay. An empty table gives an empty one.
+    rows stay. Columns named as the new ones are replaced. An empty table gives an empty one.
     """
+    docs = without(docs, "fp", "root", "component_id")
     with text_settings(docs):
         prints = stash(fingerprints(docs, shingle, seed), "prints")
     reps = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "reps")

@@ -69,10 +69,11 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == HELD_OUT
 
 
-def labelled_ids(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, quality) of at most `rows` labelled documents that are not held out, chosen by hash.
+def labelled_ids(labels: DataFrame, rows: int | None = FIT_ROWS) -> DataFrame:
+    """(doc_id, quality) of at most `rows` labelled documents that are not held out, chosen by hash; of all without `rows`.
 
     Null ids and labels other than 0 and 1 are left out; a document with both labels counts as 0.
     """
     use = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    return use.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    use = use.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    return use if rows is None else use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

@@ -470,6 +470,113 @@ def test_isolation_forest():
     assert rules.threshold(np.array([0.9, 0.9, 0.1]), np.array([False, True, True]), 5) == np.inf
 
 
+def test_path_lengths_and_threshold_against_plain_versions():
+    """Each row walks each tree by itself; each cut is tried by itself."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, (300, 3)), rng.uniform(-2, 2, (40, 3))])
+    forest = rules.IsolationForest(x[:300], x.min(0), x.max(0), trees=20, subsample=64, depth=7)
+
+    def length(row, tree):
+        feature, value, down, size = tree
+        at = steps = 0
+        while down[at][0] != at:
+            at = down[at][int(row[feature[at]] > value[at])]
+            steps += 1
+        assert steps <= 7 and size[at] >= steps
+        return size[at]
+
+    h = 2 * (np.log(63) + np.euler_gamma) - 2 * 63 / 64
+    want = [2 ** (-np.mean([length(r, t) for t in forest.trees]) / h) for r in x]
+    np.testing.assert_allclose(forest.score(x), want, rtol=1e-12)
+    s, good = np.round(forest.score(x), 2), np.arange(340) < 300
+    cost = lambda cut: (good & (s >= cut)).sum() * 5 - (~good & (s >= cut)).sum()
+    edges, counts = np.unique(np.stack([s, good], 1), axis=0, return_counts=True)
+    for got in (rules.threshold(s, good, 5), rules.threshold(edges[:, 0], edges[:, 1] == 1, 5, counts)):
+        assert cost(got) == min(cost(c) for c in [*s, np.inf]) < 0
+
+
+def plain_pooled(text, contexts):
+    """Pooled vectors and statistics of one text, word by word."""
+    w = WORD(text or "")
+    index = [quality.index_vectors([x])[0].astype("f8") for x in w]
+    context = [np.asarray(contexts.get(x, np.zeros(quality.DIM)), "f8") for x in w]
+    n = max(len(w), 1)
+    mean = lambda rows: sum(rows, np.zeros(quality.DIM)) / n
+    seen = plain_rules(text)[4]
+    doubled = sum(a == b for a, b in itertools.pairwise(w))
+    return [*mean(index), *mean(context), doubled / n, seen / n, float(np.sqrt((mean(index) ** 2).sum())), np.log1p(len(w)) / 10]
+
+
+def plain_index_vector(word):
+    out = np.zeros(quality.DIM)
+    form = f"{word[0].isupper()}{len(word) > 1 and word.isupper()}{'' if word[-1].isalnum() else word[-1]}{word.isalpha()}{min(len(word), 12)}"
+    for part in (word.lower(), "<" + word[:3], word[-3:] + ">", "=" + form):
+        out += quality._RANDOM[zlib.crc32(part.encode()) % quality.TABLE]
+    return out
+
+
+def test_pooled_vectors_against_a_plain_version():
+    texts = [*RULE_TEXTS[:9], "The cat, THE cat! sat é on 12 mats.", "x"]
+    rng = np.random.default_rng(2)
+    contexts = {w: rng.normal(size=quality.DIM).astype("f4") for w in ("a", "cat,", "x", "THE")}
+    got = quality.pooled(pa.array(texts, pa.string()), quality.Vectors(contexts))
+    np.testing.assert_allclose(got, [plain_pooled(t, contexts) for t in texts], rtol=1e-5, atol=1e-6)
+    for w in ("The", "é!", "ABC", "x1"):
+        assert (quality.index_vectors([w])[0] == plain_index_vector(w)).all()
+
+
+def test_context_vectors_against_a_plain_version():
+    texts = ["a b c a d", "", None, "b a", "c c c c c c a b " * 40]
+    words_ = ["a", "c", "zz"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got = np.frombuffer(next(quality._contexts(words_)(iter([batch]))).column(0)[0].as_py(), "i8").reshape(-1, quality.DIM)
+    want = np.zeros((3, quality.DIM))
+    for t in texts:
+        w = WORD(t or "")
+        for i, x in enumerate(w):
+            if x in words_:
+                want[words_.index(x)] += sum((plain_index_vector(w[j]) for j in range(max(0, i - 2), min(len(w), i + 3)) if j != i), np.zeros(quality.DIM))
+    assert (got == want).all()
+
+
+def test_the_network_is_a_minimum_of_its_loss(monkeypatch):
+    """Gradients by small differences: fitted weights lie at a minimum, and the temperature at the best of its grid."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 5))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(0, 0.5, 200) > 0.3).astype(int)
+    monkeypatch.setattr(quality, "HIDDEN", 4)
+    monkeypatch.setattr(quality, "EPOCHS", 6000)
+    monkeypatch.setattr(quality, "RATE", 0.01)
+    net = quality.Network(x, y)
+    hold = np.arange(200) % quality.CALIBRATION == 0
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -8, 8)[~hold]
+
+    def loss():
+        logit = np.tanh(z @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3]
+        return np.mean(np.logaddexp(0, logit) - y[~hold] * logit) + quality.DECAY / 2 * ((net.p[0] ** 2).sum() + (net.p[2] ** 2).sum())
+
+    for p in net.p:
+        for i in np.ndindex(p.shape):
+            old = p[i]
+            p[i] = old + 1e-5
+            up = loss()
+            p[i] = old - 1e-5
+            down = loss()
+            p[i] = old
+            assert abs(up - down) / 2e-5 < 2e-3
+    logit = net.logit(x[hold])
+    at = lambda k: np.mean(np.logaddexp(0, logit / k) - y[hold] * logit / k)
+    assert at(net.temperature) <= min(at(k) for k in np.geomspace(0.25, 8, 101)) + 1e-12
+
+
+def test_clashing_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", 2.5, 7), (None, None, None, None, None)], "doc_id long, text string, Score string, predicted double, fp int")
+    got = quality.score(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert got.columns == ["doc_id", "fp", "score", "predicted"] and {r["score"] for r in got.collect()} == {0.5}
+    got = simhash.near_duplicates(docs.withColumn("root", simhash.F.lit(1)).withColumn("Component_ID", simhash.F.lit(1)))
+    assert got.columns == ["doc_id", "Score", "predicted", "fp", "root", "component_id"] and got.count() == 2
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 3 == 1
 

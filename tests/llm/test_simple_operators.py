@@ -233,6 +233,46 @@ def test_mix(spark, folder):
         assert taken[s] == pytest.approx(want[s], rel=0.01, abs=3)
 
 
+def test_rates_are_the_solution_of_the_dual(spark):
+    """Each source's lambda by plain bisection, and copies within what rounding moves of the tilted rates."""
+    rng = np.random.default_rng(8)
+    rows = [(i, s, int(x)) for s, n in (("a", 900), ("b", 500), ("c", 300)) for i, x in enumerate(rng.integers(1, 60, n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    sizes = {s: np.array([r[2] for r in rows if r[1] == s], "f8") for s in "abc"}
+    whole, left = sum(x.sum() for x in sizes.values()), 6
+    for i, s in enumerate("abc"):
+        want = whole * (i + 1) / left
+        assert want < 3 * sizes[s].sum()  # no source is at its cap here
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            taken = (sizes[s] * np.minimum(3, np.exp(lam * sizes[s] / sizes[s].mean()))).sum()
+            low, high = (lam, high) if taken < want else (low, lam)
+        part = got[got.source == s]
+        assert part.target.iloc[0] == pytest.approx(want) and part.taken.sum() == pytest.approx(want, abs=1.5)
+        rate = part.groupby("size").copies.agg(["sum", "count"])
+        ideal = rate["count"] * np.minimum(3, np.exp(lam * rate.index / sizes[s].mean()))
+        off = abs(rate["sum"] - ideal)  # a stratum is rounded, and takes over what the one above it could not
+        assert (off <= 0.5 + 0.5 * (rate.index + 1) / rate.index + 1e-9).all()
+
+
+def test_what_does_not_converge_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.mix(spark.createDataFrame([(i, s, 1 + i % 9) for i in range(90) for s in "abc"], "doc_id long, source string, size long"))
+
+
+def test_mix_of_a_common_id_and_clashing_names(spark):
+    rows = [(None, "a", 4, 1, "x", 9)] * 900 + [(i, "b", 5, i, "y", 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, n long, rank string, Taken int")
+    runs = [mixing.mix(x) for x in (df, df.repartition(5))]
+    assert runs[0].columns == ["doc_id", "source", "size", "n", "rank", "source_size", "target", "copies", "taken"]
+    a, b = (sorted(map(str, x.collect())) for x in runs)
+    assert a == b and len(a) == 1200
+    taken = {s: sum(r["taken"] for r in runs[0].collect() if r["source"] == s) for s in "ab"}
+    assert taken["a"] == pytest.approx(1700, abs=5) and taken["b"] == pytest.approx(3400, abs=5)
+
+
 def test_mix_tilts_by_size(spark):
     """Rates follow exp(lambda * size): a source to shrink gives up its long documents first."""
     df = spark.createDataFrame([(i, s, 1 + i % 50) for i in range(6000) for s in ("a", "b", "c")], "doc_id long, source string, size long")
