@@ -289,7 +289,7 @@ def page(title, body, nav="Home", foot="All rights"):
     ],
 )
 def test_page_text(source, text):
-    assert pages.Page(source).text() == text
+    assert pages.Page(source, pages.Shapes()).text() == text
 
 
 def plain_match(a, b):
@@ -303,6 +303,14 @@ def plain_match(a, b):
     return m[-1][-1] + 1
 
 
+def shape(shapes, tree):
+    return shapes.add(tree[0], tuple(shape(shapes, c) for c in tree[1]))
+
+
+def flat(tree):
+    return [tree, *(x for c in tree[1] for x in flat(c))]
+
+
 def test_tree_matching():
     rng = np.random.default_rng(2)
 
@@ -310,9 +318,15 @@ def test_tree_matching():
         label = "pqr"[int(rng.integers(0, 3))]
         return label, tuple(tree(depth - 1) for _ in range(int(rng.integers(0, 5)))) if depth else ()
 
+    shapes = pages.Shapes()
     for _ in range(300):
         a, b = ("", tree(3)[1]), ("", tree(3)[1])
-        assert pages._size(a, b) == plain_match(a, b)
+        x, y = shape(shapes, a), shape(shapes, b)
+        assert shapes.size(x, y) == plain_match(a, b)
+        at, to = shapes.align(x, y)
+        assert len(at) == plain_match(a, b) and len(set(at.tolist())) == len(set(to.tolist())) == len(at)
+        labels = [[n[0] for n in flat(t)] for t in (a, b)]
+        assert all(labels[0][i] == labels[1][j] for i, j in zip(at, to, strict=True))
 
 
 def test_wrapper_drops_what_a_host_repeats(spark, folder):
@@ -331,12 +345,7 @@ def test_wrapper_drops_what_a_host_repeats(spark, folder):
 def test_pages_keep_articles(spark, sf):
     table = ds.dataset(f"{sf}/pages.parquet").to_table().to_pylist()
     got = {r["page_id"]: r["text"] for r in pages.op5_html(spark, sf).collect()}
-    import html
-
-    for r in table:
-        inside = r["html"].split("<article>")[1].split("</article>")[0]
-        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?p>|</?h1>", inside)]
-        assert got[r["page_id"]] == "\n".join(x for x in blocks if x)
+    assert all(got[r["page_id"]] == article_of(r) for r in table)
 
 
 # licences
@@ -356,21 +365,75 @@ def test_long_lists_of_children_are_matched_by_search():
     kinds = [("p", (leaf,)), ("h2", (leaf,)), ("ul", (("li", (leaf,)), ("li", (leaf,)))), ("div", (leaf, ("p", (leaf,))))]
     common = [kinds[k] for k in rng.integers(0, 4, 900)]
     new = ("table", (("tr", (leaf,)),))
+    shapes = pages.Shapes()
+    number = lambda trees: tuple(shape(shapes, t) for t in trees)
     page = [*common[:5], new, *common[5:890], new, *common[890:]]
     want = [(i + (i >= 5) + (i >= 890), i) for i in range(900)]
-    assert pages._pairs((new, *page, new), (("form", ()), *common, ("form", ()))) == [(i + 1, j + 1) for i, j in want]
+    assert shapes.pairs(number([new, *page, new]), number([("form", ()), *common, ("form", ())])) == [(i + 1, j + 1) for i, j in want]
 
     def table(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(range(len(a) - 1, -1, -1), range(len(b) - 1, -1, -1)):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + pages._size(a[i], b[j]))
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + shapes.size(a[i], b[j]))
         return best[0][0]
 
     for n, m in ((1, 30), (30, 1), (7, 8), (40, 33), (450, 420)):
-        a, b = (tuple([*kinds, new][k] for k in rng.integers(0, 5, x)) for x in (n, m))
-        got = pages._pairs(a, b)
+        a, b = (number([[*kinds, new][k] for k in rng.integers(0, 5, x)]) for x in (n, m))
+        got = shapes.pairs(a, b)
         assert got == sorted(got) and all(x < y for p, q in itertools.pairwise(got) for x, y in zip(p, q, strict=True))
-        assert sum(pages._size(a[i], b[j]) for i, j in got) == table(a, b)
+        assert sum(shapes.size(a[i], b[j]) for i, j in got) == table(a, b)
+
+
+def article_of(r):
+    import html
+
+    inside = r["html"].split("<article>")[1].split("</article>")[0]
+    blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?p>|</?h1>", inside)]
+    return "\n".join(x for x in blocks if x)
+
+
+def bare(source):
+    """A page without any tag or class name that tells of its parts."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|header|aside|main)\b[^>]*>", r"<\1div>", source))
+
+
+def test_articles_without_telling_tags_or_class_names(spark, larger):
+    table = ds.dataset(f"{larger}/pages.parquet").to_table().to_pylist()
+    host = lambda r: re.sub(r"^https?://([^/?#:]*).*$", r"\1", r["url"].lower())
+    common = collections.Counter(map(host, table))
+    rows = [r for r in table if common[host(r)] >= 4]
+    df = spark.createDataFrame([(r["page_id"], r["url"], bare(r["html"])) for r in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    right = [got[r["page_id"]] == article_of(r) for r in rows]
+    assert len(rows) > 100 and np.mean(right) >= 0.98
+    none = pages.Page(bare(rows[0]["html"]), pages.Shapes()).text()
+    assert none != article_of(rows[0])  # marks alone would not do
+
+
+def test_two_layouts_of_a_host_and_odd_rows(spark):
+    words_ = lambda i, n: " ".join(f"w{(i * 7 + k * 13) % 97}" for k in range(n))
+    old = lambda i: f"<body><table><tr><td><ul><li><a href=/>Home {i}</a></ul></td><td><div><p>Subscribe now</p><p>{words_(i, 30)}</p><p>{words_(i + 50, 20)}</p></div></td></tr></table></body>"
+    new = lambda i: f"<body><div class=top><a href=/>Top {i}</a></div><section class=box><h1>Title {i}</h1><div class=lead><p>{words_(i, 9)}</p></div><div class=body><p>{words_(i, 40)}</p><p>All rights reserved</p><p>{words_(i + 9, 5)}</p></div></section><section class=voices><p>said {i}</p></section></body>"
+    rows = [(i, "http://h.example/a", (old if i % 2 else new)(i), i) for i in range(24)] + [(None, None, None, 1), (None, "http://h.example/", "", 2)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["page_id", "url", "text", "n_chars"]
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[None] == ""
+    for i in range(24):
+        want = [words_(i, 30), words_(i + 50, 20)] if i % 2 else [f"Title {i}", words_(i, 9), words_(i, 40), words_(i + 9, 5)]
+        assert text[i] == "\n".join(want)
+
+
+@pytest.mark.parametrize("source", ["<iframe>" * 60_000, "<a " * 200_000, "<title>a" * 60_000, "<div>" * 60_000, "<!-- " * 100_000, "<p '" * 100_000, "< " * 200_000, "<script>" * 30_000 + "</script>"])
+def test_long_malformed_pages_take_time_in_proportion(source):
+    import time
+
+    took = []
+    for k in (1, 4):
+        began = time.process_time()
+        pages.Page(source[: len(source) * k // 4], pages.Shapes())
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
 
 
 def test_whole_texts_of_longer_licenses_in_any_wrap(spark, folder):
