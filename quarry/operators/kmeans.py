@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.prng import SEED, Generator
 from quarry.schemas import DIM, MAX_CLUSTERS, C, V
+from quarry.sources.shared import delete, new_path
 
 #: Rows, drawn with replacement, that the initialisation sees at most.
 INIT_SAMPLE = 65_536
@@ -64,25 +65,22 @@ def initial(vectors: DataFrame, n: int, k: int, seed: int = SEED) -> np.ndarray:
     return plus_plus(rows.loc[ids, V].to_numpy("f4"), k, generator)
 
 
-def _assigner(centroids: np.ndarray, before: np.ndarray | None):
+def _assigner(centroids: np.ndarray):
     def run(batches):
         for b in batches:
             x = np.stack([b.column(c).to_numpy() for c in V], 1).astype("f4") if b.num_rows else np.empty((0, DIM), "f4")
-            out = {c: b.column(c) for c in b.schema.names} | {"cluster_id": pa.array(nearest(x, centroids))}
-            if before is not None:
-                out["old_cluster"] = pa.array(nearest(x, before))
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nearest(x, centroids))], names=[*b.schema.names, "cluster_id"])
 
     return run
 
 
-def assign(vectors: DataFrame, centroids: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
-    """vectors (with v0..v13) with cluster_id, and old_cluster by the centroids before. At most MAX_CLUSTERS centroids travel with the tasks."""
+def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """vectors (with v0..v13) with cluster_id. At most MAX_CLUSTERS centroids travel with the tasks."""
     if len(centroids) > MAX_CLUSTERS:
         raise ValueError(f"{len(centroids)} centroids; at most {MAX_CLUSTERS}")
-    new = ["cluster_id"] + ["old_cluster"] * (before is not None)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name not in new] + [f"{c} int" for c in new])
-    return vectors.drop(*new).mapInArrow(_assigner(centroids, before), schema)
+    vectors = vectors.drop("cluster_id")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields), "cluster_id int"])
+    return vectors.mapInArrow(_assigner(centroids), schema)
 
 
 def _means() -> list:
@@ -103,8 +101,8 @@ def train(vectors: DataFrame, k: int, iterations: int, seed: int = SEED) -> tupl
     """vectors (orig_id 0.., v0..v13, any others) -> (centroids, vectors with cluster_id).
 
     The assignments are those before the last update of the centroids; clusters without rows keep their centroids. A
-    round is one scan and one small aggregation: each task finds the clusters by the present centroids and by those
-    before, so nothing is written or joined to count the rows that moved, and no plan grows.
+    round is one scan that finds the clusters, writes them beside the vectors, and one small aggregation of what it wrote;
+    the next round reads the clusters before from there, and the table before that is deleted. The last one is returned.
     """
     n = vectors.count()
     if not n:
@@ -113,14 +111,20 @@ def train(vectors: DataFrame, k: int, iterations: int, seed: int = SEED) -> tupl
         raise ValueError(f"k must be from 1 to {MAX_CLUSTERS}")
     if iterations <= 0:
         raise ValueError("iterations must be positive")
-    centroids, before = initial(vectors, n, k, seed), None
+    spark, centroids, path = vectors.sparkSession, initial(vectors, n, k, seed), None
+    rows = vectors.drop("cluster_id").withColumn("old_cluster", F.lit(None).cast("int"))
     for _ in range(iterations):
-        assigned = assign(vectors.select(*V), centroids, before)
-        moved = F.count_if(F.col("old_cluster") != F.col("cluster_id")) if before is not None else F.count("*")
-        found = assigned.groupBy("cluster_id").agg(moved.alias("moved"), *_means()).collect()  # a row for each cluster
-        before, centroids = centroids, centroids.copy()
+        last, path = path, new_path(spark, "assigned")
+        assign(rows, centroids).write.parquet(path)
+        if last:
+            delete(spark, last)
+        assigned = spark.read.parquet(path)
+        moved = F.count_if(~F.col("old_cluster").eqNullSafe(F.col("cluster_id"))).alias("moved")
+        found = assigned.groupBy("cluster_id").agg(moved, *_means()).collect()  # a row for each cluster
+        centroids = centroids.copy()
         for r in found:
             centroids[r["cluster_id"]] = [r[c] for c in C]
         if sum(r["moved"] for r in found) * STOP_SHARE < n:
             break
-    return centroids, assign(vectors, before)
+        rows = assigned.drop("old_cluster").withColumnRenamed("cluster_id", "old_cluster")
+    return centroids, assigned.drop("old_cluster")

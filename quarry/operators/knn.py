@@ -1,8 +1,8 @@
 """Nearest neighbours in blocks.
 
-Queries and references are packed, where they lie, into rows that hold many vectors; a join of such rows (all with all
-for the exact search, by cluster for the indexed one) meets each pair of blocks once, and a numpy kernel keeps the best of
-each query in the pair. What is left to shuffle and rank is a few candidates a query and block.
+Queries and references are packed, where they lie, into rows that hold many vectors; an equi join of such rows (by group of
+references for the exact search, where queries go to every group; by cluster for the indexed one) meets each pair of
+blocks once, and a numpy kernel keeps the best of each query in the pair. What is left to shuffle and rank is a few candidates a query and block.
 """
 
 from __future__ import annotations
@@ -17,12 +17,27 @@ from quarry.schemas import DIM, NEIGHBOURS, Q
 
 #: Vectors of a packed row, and distances that the kernel holds at once.
 QUERY_BLOCK, REFERENCE_BLOCK, CELLS = 4096, 32_768, 1 << 21
+#: Vectors that a packing task holds of all values of `by` together.
+HELD = 1 << 19
 
 
 def _packer(id_col: str, label_col: str | None, by: str | None, block: int):
     names = ["by", "ids", "labels", "data"]
 
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in rows], pa.int64()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (1, 2, 3))], names=names)
+
     def run(batches):
+        held: dict[int, list] = {}
+        count: dict[int, int] = {}
+        total = 0
+
+        def whole(keys):
+            nonlocal total
+            for k in keys:
+                total -= count.pop(k)
+                yield (k, *(np.concatenate(x) for x in zip(*held.pop(k), strict=True)))
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -31,15 +46,25 @@ def _packer(id_col: str, label_col: str | None, by: str | None, block: int):
             labels = b.column(label_col).to_numpy().astype("i1") if label_col else np.zeros(len(ids), "i1")
             keys = b.column(by).to_numpy().astype("i8") if by else np.zeros(len(ids), "i8")
             order = np.argsort(keys, kind="stable")
-            cuts = np.flatnonzero(np.diff(keys[order])) + 1
-            rows = [part[i : i + block] for part in np.split(order, cuts) for i in range(0, len(part), block)]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[r[0]] for r in rows], pa.int64()), *(pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (ids, labels, q))], names=names)
+            for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+                k = int(keys[part[0]])
+                while len(part):
+                    now, part = np.split(part, [block - count.get(k, 0)])
+                    held.setdefault(k, []).append((ids[now], labels[now], q[now]))
+                    count[k] = count.get(k, 0) + len(now)
+                    total += len(now)
+                    if count[k] == block:
+                        yield out(list(whole([k])))
+            if total > HELD:
+                yield out(list(whole(list(held))))
+        if held:
+            yield out(list(whole(list(held))))
 
     return run
 
 
 def pack(df: DataFrame, id_col: str, label_col: str | None = None, by: str | None = None, block: int = REFERENCE_BLOCK) -> DataFrame:
-    """(by, ids, labels, data): up to `block` vectors of one Arrow batch and one value of `by` in a row. No shuffle."""
+    """(by, ids, labels, data): up to `block` vectors of one partition and one value of `by` in a row, whatever the size of Arrow batches. No shuffle."""
     return df.select(*dict.fromkeys(c for c in (id_col, label_col, by, *Q) if c)).mapInArrow(_packer(id_col, label_col, by, block), "by long, ids binary, labels binary, data binary")
 
 
@@ -77,9 +102,12 @@ def _kernel(k: int):
 def candidates(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS, by_cluster: bool = False) -> DataFrame:
     """Packed queries and references -> (id, dist, orig_id, label): the best k of each query in each pair of blocks."""
     r = references.select(F.col("by").alias("ref_by"), F.col("ids").alias("ref_ids"), F.col("labels").alias("ref_labels"), F.col("data").alias("ref_data"))
-    met = queries.join(r, F.col("by") == F.col("ref_by")) if by_cluster else queries.crossJoin(r)
-    if not by_cluster:
-        met = met.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if by_cluster:
+        met = queries.join(r, F.col("by") == F.col("ref_by"))
+    else:  # each block of references moves once, to one group; the queries go to every group
+        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        r = r.withColumn("ref_group", F.pmod(F.xxhash64("ref_ids"), F.lit(n)).cast("int")).repartition(n, "ref_group")
+        met = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(r, F.col("group") == F.col("ref_group"))
     return met.select("ids", "data", "ref_ids", "ref_labels", "ref_data").mapInArrow(_kernel(k), "id long, dist long, orig_id long, label int")
 
 

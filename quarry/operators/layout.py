@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +61,19 @@ def build(assigned: DataFrame, centroids: np.ndarray) -> tuple[DataFrame, DataFr
 
     clusters: cluster_id, n, row_offset, blocks, block_offset, lo, hi, c0..c13; rows: cluster_id, orig_id, label, q0..q13.
     """
-    rows = assigned.select("cluster_id", "orig_id", "label", *(quantize(F.col(v)).alias(q) for v, q in zip(V, Q, strict=True)))
-    table = centroid_table(assigned.sparkSession, centroids)
-    return offsets(counts(rows, table)).join(boxes(rows, table), "cluster_id").join(table, "cluster_id"), rows
+    rows = quantized(assigned)
+    return describe(rows, centroids), rows
+
+
+def quantized(assigned: DataFrame) -> DataFrame:
+    """(cluster_id, orig_id, label, q0..q13) of assigned vectors."""
+    return assigned.select("cluster_id", "orig_id", "label", *(quantize(F.col(v)).alias(q) for v, q in zip(V, Q, strict=True)))
+
+
+def describe(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """The clusters of quantised rows: read twice, so they had better be written before."""
+    table = centroid_table(rows.sparkSession, centroids)
+    return offsets(counts(rows, table)).join(boxes(rows, table), "cluster_id").join(table, "cluster_id")
 
 
 def estimate_bytes(clusters: DataFrame) -> DataFrame:
@@ -73,14 +85,19 @@ def estimate_bytes(clusters: DataFrame) -> DataFrame:
 
 
 def validate(clusters: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of checks: offsets follow from the counts, counts from the rows, and every row's cluster is there."""
-    real = rows.groupBy("cluster_id").agg(F.count("*").alias("found"))
-    both = clusters.select("cluster_id", "n", "row_offset").join(real, "cluster_id", "full")
-    before = F.coalesce(F.sum("n").over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    both = both.withColumn("due", before)
+    """One row of checks: offsets, blocks and block offsets follow from the counts, counts from the rows, every row's cluster is there, and every row has an id, a label of 0 or 1 and whole values."""
+    sound = reduce(lambda a, b: a & b, (F.col(q).isNotNull() for q in Q), F.col("orig_id").isNotNull() & F.col("label").isin(0, 1))
+    real = rows.groupBy("cluster_id").agg(F.count("*").alias("found"), F.count_if(~F.coalesce(sound, F.lit(False))).alias("unsound"))
+    both = clusters.select("cluster_id", "n", "row_offset", "blocks", "block_offset").join(real, "cluster_id", "full")
+    upto = Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each cluster, a few thousand
+    need = F.expr(f"(n + {LANES - 1}) div {LANES}")
+    both = both.withColumns({"due": F.coalesce(F.sum("n").over(upto), F.lit(0)), "need": need, "block_due": F.coalesce(F.sum(need).over(upto), F.lit(0))})
     return both.agg(
         F.count_if(F.col("n").isNull()).alias("unknown_clusters"),
         F.count_if(F.coalesce("n", F.lit(0)) != F.coalesce("found", F.lit(0))).alias("wrong_counts"),
         F.count_if(F.col("row_offset") != F.col("due")).alias("wrong_offsets"),
+        F.count_if(F.col("blocks") != F.col("need")).alias("wrong_blocks"),
+        F.count_if(F.col("block_offset") != F.col("block_due")).alias("wrong_block_offsets"),
+        F.coalesce(F.sum("unsound"), F.lit(0)).alias("unsound_rows"),
         F.coalesce(F.sum("found"), F.lit(0)).alias("rows"),
     )

@@ -14,17 +14,19 @@ from quarry.operators.score import decision, response
 from quarry.plans.config import BuildConfig
 from quarry.schemas import Q, V
 from quarry.sources import index_files
+from quarry.sources.shared import scratch
 
 
 def build_index(references: DataFrame, path: str, config: BuildConfig | None = None) -> dict:
     """references (orig_id 0.., label, v0..) -> an index under path. Returns the checks and sizes; raises if a check fails."""
-    config = config or BuildConfig()
-    centroids, assigned = kmeans.train(references, config.clusters, config.iterations, config.seed)
-    clusters, rows = layout.build(assigned, centroids)
-    index_files.write(clusters, rows, path)
-    clusters, rows = index_files.read(references.sparkSession, path)
+    config, spark = config or BuildConfig(), references.sparkSession
+    with scratch(spark):  # assignments are computed once, written, and described as they were written
+        centroids, assigned = kmeans.train(references, config.clusters, config.iterations, config.seed)
+        index_files.write_rows(layout.quantized(assigned), path)
+    index_files.write_clusters(layout.describe(index_files.read_rows(spark, path), centroids), path)
+    clusters, rows = index_files.read(spark, path)
     checks = layout.validate(clusters, rows).first().asDict()
-    if checks["unknown_clusters"] or checks["wrong_counts"] or checks["wrong_offsets"]:
+    if any(n for name, n in checks.items() if name != "rows"):
         raise ValueError(f"the index is not whole: {checks}")
     return checks | layout.estimate_bytes(clusters).first().asDict()
 
@@ -49,9 +51,13 @@ class Scorer:
             raise ValueError("a searcher and a vectorizer are needed")
 
     def score(self, requests: DataFrame, key: str = "request_key") -> DataFrame:
-        """requests with a unique long `key` -> key, id, status, fraud_count, approved, fraud_score, body; nulls unless status is 200."""
+        """requests with a unique long `key` -> key, id, status, fraud_count, approved, fraud_score, body; nulls unless status is 200.
+
+        A valid request for which the searcher has no answer gets status 500.
+        """
         df = self.vectorizer(requests)
         valid = df.filter("status = 200").select(F.col(key).alias("id"), *V, *Q)
         counts = self.searcher(valid).select(F.col("id").alias(key), F.col("fraud_count").alias("__count"))
         out = df.select(key, "id", "status").join(counts, key, "left")
-        return out.select(key, "id", "status", *decision(F.col("__count")), response(F.col("__count")).alias("body"))
+        status = F.when((F.col("status") == 200) & F.col("__count").isNull(), 500).otherwise(F.col("status")).alias("status")
+        return out.select(key, "id", status, *decision(F.col("__count")), response(F.col("__count")).alias("body"))

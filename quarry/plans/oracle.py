@@ -74,7 +74,7 @@ _TIME = "'%Y-%m-%dT%H:%M:%SZ'"
 EVENTS = (
     f"e0 AS (SELECT *, epoch_us(ts) AS us, CAST(json_extract(props, '$.k') AS INTEGER) AS k, strftime(ts, {_TIME}) AS made FROM events), "
     "e AS (SELECT event_id AS request_key, event_type, value, k, made, 'MERC-' || k AS merchant_id, "
-    "list_filter([lag('MERC-' || k, 1) OVER o, lag('MERC-' || k, 2) OVER o, lag('MERC-' || k, 3) OVER o], lambda y: y IS NOT NULL) AS known, "
+    "row_number() OVER (PARTITION BY user_id, k ORDER BY us, event_id) > 1 AS known, "
     "CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id) / count(*) OVER (PARTITION BY user_id) / 100 AS FLOAT) AS average, "
     "count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n_day, "
     "lag(made) OVER o AS last_at, lag(value) OVER o AS last_value, "
@@ -128,7 +128,7 @@ _FEATURES = [
     _clamp(_share("n_day", 20)),
     _f32("CAST(event_type IN ('click', 'view') AS INTEGER)"),
     _f32("CAST(event_type = 'purchase' AS INTEGER)"),
-    _f32("CAST(NOT list_contains(known, merchant_id) AS INTEGER)"),
+    _f32("CAST(NOT known AS INTEGER)"),
     _f32(_RISK),
     _clamp(_share("k * 25", 10000)),
 ]
@@ -142,6 +142,49 @@ _ASSIGNED = f"a AS (SELECT r.*, c.cluster_id AS nearest FROM r, c QUALIFY row_nu
 _INDEXED = "n AS (SELECT cluster_id, count(*) AS n FROM r GROUP BY cluster_id)"
 _IVF = lambda nprobe: (R, QUERY, CENTROIDS, _probed(nprobe), _near(), _votes())
 
+#: Generator states of all draws of a training with @ clusters, the sampled rows, and the picks one by one.
+_SAMPLE = "(SELECT least(count(*), 65536) FROM r)"
+_DRAWN = lambda i: f"(SELECT state FROM g WHERE draw = {_SAMPLE} + {i})"
+_VS = _each("v#")
+
+
+def _picks(k: int) -> list[str]:
+    """Tables p0..: the initial centroids, each next one where the running sum of least distances passes a drawn share of it."""
+    out = [
+        _RANDOM.replace("@", f"({_SAMPLE} + {k})"),
+        f"s0 AS MATERIALIZED (SELECT draw - 1 AS place, {_VS}, CAST(1e30 AS FLOAT) AS low FROM g JOIN r ON r.orig_id = CAST((state // 8589934592) % (SELECT count(*) FROM r) AS BIGINT) WHERE draw BETWEEN 1 AND {_SAMPLE})",
+        f"p0 AS MATERIALIZED (SELECT * FROM s0 WHERE place = CAST(({_DRAWN(1)} // 8589934592) % {_SAMPLE} AS BIGINT))",
+    ]
+    distance = _each("(s.v# - p.v#) * (s.v# - p.v#)", " + ")
+    for i in range(1, k):
+        out += [
+            f"s{i} AS MATERIALIZED (SELECT s.place, {_each('s.v#')}, least(s.low, {distance}) AS low FROM s{i - 1} s, p{i - 1} p)",
+            f"u{i} AS MATERIALIZED (SELECT place, sum(CAST(low AS DOUBLE)) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM s{i})",
+            f"p{i} AS MATERIALIZED (SELECT * FROM s{i} WHERE place = (SELECT coalesce(min(place), {_SAMPLE} - 1) FROM u{i} WHERE upto >= CAST({_DRAWN(i + 1)} // 2048 AS DOUBLE) / 9007199254740992 * (SELECT max(upto) FROM u{i})))",
+        ]
+    return out + ["t0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS cluster_id, {_each('v# AS c#')} FROM p{i}" for i in range(k)) + ")"]
+
+
+def _trained(k: int, rounds: int) -> list[str]:
+    """Tables a1.. (assignments) and t1.. (centroids) of each round; once fewer than one row in a thousand moved, nothing changes."""
+    out = [R, *_picks(k)]
+    for i in range(1, rounds + 1):
+        near = f"SELECT r.orig_id, c.cluster_id AS nearest FROM r, t{i - 1} c QUALIFY row_number() OVER (PARTITION BY r.orig_id ORDER BY {FLOAT_DIST('r', 'c')}, c.cluster_id) = 1"
+        if i == 1:
+            out += [f"a1 AS MATERIALIZED ({near})", "d1 AS (SELECT false AS done)"]
+        else:
+            out += [
+                f"a{i} AS MATERIALIZED (SELECT b.orig_id, CASE WHEN (SELECT done FROM d{i - 1}) THEN b.nearest ELSE x.nearest END AS nearest FROM a{i - 1} b JOIN ({near}) x USING (orig_id))",
+                f"d{i} AS MATERIALIZED (SELECT (SELECT done FROM d{i - 1}) OR count_if(x.nearest <> b.nearest) * 1000 < count(*) AS done FROM a{i} x JOIN a{i - 1} b USING (orig_id))",
+            ]
+        means = _each("CAST(avg(CAST(v# AS DOUBLE)) AS FLOAT) AS m#")
+        out.append(f"t{i} AS MATERIALIZED (SELECT c.cluster_id, {_each('coalesce(m#, c#) AS c#')} FROM t{i - 1} c LEFT JOIN (SELECT nearest, {means} FROM a{i} JOIN r USING (orig_id) GROUP BY nearest) m ON m.nearest = c.cluster_id)")
+    return out
+
+
+_BUILT = "z AS (SELECT count(*) AS k, CAST(sum(n) AS BIGINT) AS n, CAST(sum((n + 7) // 8) AS BIGINT) AS blocks FROM (SELECT c.cluster_id, count(a.orig_id) AS n FROM t0 c LEFT JOIN a5 a ON a.nearest = c.cluster_id GROUP BY c.cluster_id))"
+_FACTS = {"n": "n", "k": "k", "blocks": "blocks", "rows": "n", "bytes": f"{HEADER_BYTES} + k * {DIM * 8} + (k + 1) * 8 + blocks * {DIM * 16} + n * 5"} | dict.fromkeys(("unknown_clusters", "wrong_counts", "wrong_offsets", "wrong_blocks", "wrong_block_offsets", "unsound_rows"), "0")
+
 ORACLE_SQL = {
     "label_encode": "SELECT vec_id, CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END AS encoded FROM embeddings",
     "vector_pad14": "SELECT vec_id, " + ", ".join(f"CASE WHEN vec_id % 20 > {i} THEN {_quantized(f'embedding[{i + 1}]')} ELSE 0 END AS q{i}" for i in N) + " FROM embeddings",
@@ -155,7 +198,7 @@ ORACLE_SQL = {
     "clamp_norm": f"SELECT event_id, round(CAST({_clamp(_share('value * 100 - 500', 10000))} AS DOUBLE), {DIGITS}) AS share FROM events",
     "mcc_risk_lookup": _with(EVENTS) + f"SELECT request_key, mcc, round(CAST({_RISK} AS DOUBLE), 2) AS risk FROM e",
     "mcc_risk_join": _with(EVENTS) + f"SELECT mcc, count(*) AS requests, round(CAST(max({_RISK}) AS DOUBLE), 2) AS risk FROM e GROUP BY mcc",
-    "known_merchant_flag": _with(EVENTS) + "SELECT request_key, list_contains(known, merchant_id) AS known FROM e",
+    "known_merchant_flag": _with(EVENTS) + "SELECT request_key, known FROM e",
     "int_l2_pairs": _with(R, "f AS (SELECT min(orig_id) AS id FROM r GROUP BY cluster_id)", "x AS (SELECT r.* FROM r JOIN f ON r.orig_id = f.id)") + f"SELECT r.orig_id, x.orig_id AS seed_id, {INT_DIST} AS dist FROM r, x",
     "float_l2_centroids": _with(R, CENTROIDS) + f"SELECT r.orig_id, c.cluster_id AS centroid, round(CAST({FLOAT_DIST('r', 'c')} AS DOUBLE), {DIGITS}) AS dist FROM r, c",
     "bbox_lower_bound": _with(R, QUERY, BOXES) + f"SELECT x.id, b.cluster_id, {BOUND} AS bound FROM x, b",
@@ -172,7 +215,7 @@ ORACLE_SQL = {
     "cluster_centroids": _with(R) + "SELECT cluster_id, count(*) AS n, " + _each(f"round(CAST(CAST(avg(CAST(v# AS DOUBLE)) AS FLOAT) AS DOUBLE), {DIGITS}) AS c#") + " FROM r GROUP BY cluster_id",
     "index_size_estimate": _with(R, _INDEXED, "s AS (SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS k, CAST(sum((n + 7) // 8) AS BIGINT) AS blocks FROM n)")
     + f"SELECT n, k, blocks, {HEADER_BYTES} + k * {DIM * 8} + (k + 1) * 8 + blocks * {DIM * 16} + n * 5 AS bytes FROM s",
-    "layout_validate": "SELECT CAST(0 AS BIGINT) AS unknown_clusters, CAST(0 AS BIGINT) AS wrong_counts, CAST(0 AS BIGINT) AS wrong_offsets, count(*) AS rows FROM embeddings",
+    "layout_validate": "SELECT CAST(0 AS BIGINT) AS unknown_clusters, CAST(0 AS BIGINT) AS wrong_counts, CAST(0 AS BIGINT) AS wrong_offsets, CAST(0 AS BIGINT) AS wrong_blocks, CAST(0 AS BIGINT) AS wrong_block_offsets, CAST(0 AS BIGINT) AS unsound_rows, count(*) AS rows FROM embeddings",
     "nearest_centroid": _with(R, CENTROIDS, _ASSIGNED) + "SELECT orig_id, nearest AS cluster_id FROM a",
     "top_nprobe_clusters": _with(R, QUERY, CENTROIDS, _probed(3)) + "SELECT id, CAST(probe AS INTEGER) AS probe, cluster_id FROM pr",
     "knn_exact_top5": _with(R, QUERY, EXACT) + "SELECT id, CAST(rank AS INTEGER) AS rank, orig_id, dist, label FROM e",
@@ -193,5 +236,10 @@ ORACLE_SQL = {
     "kmeans_sample_ids": _with(_RANDOM.replace("@", "(SELECT least(count(*), 65536) FROM embeddings)")) + "SELECT draw - 1 AS place, CAST((state // 8589934592) % (SELECT count(*) FROM embeddings) AS BIGINT) AS orig_id FROM g WHERE draw > 0",
     "kmeans_lloyd_1": _with(R, CENTROIDS, _ASSIGNED) + "SELECT nearest AS cluster_id, count(*) AS n, " + _each("round(CAST(CAST(avg(CAST(v# AS DOUBLE)) AS FLOAT) AS DOUBLE), 4) AS c#") + " FROM a GROUP BY nearest",
     "kmeans_change_count": _with(R, CENTROIDS, _ASSIGNED) + "SELECT count(*) AS n, CAST(count_if(nearest <> cluster_id) AS BIGINT) AS changed FROM a",
+    "kmeanspp_init": _with(R, *_picks(16)) + "SELECT * FROM t0",
+    "kmeans_train": _with(*_trained(16, 10)) + "SELECT nearest AS cluster_id, count(*) AS n FROM a10 GROUP BY nearest",
+    "index_build": _with(*_trained(16, 5), _BUILT) + " UNION ALL ".join(f"SELECT '{k}' AS fact, CAST({v} AS BIGINT) AS value FROM z" for k, v in _FACTS.items()),
     "index_roundtrip": _with(R) + "SELECT cluster_id, orig_id, label, " + _each("q#") + " FROM r",
 }
+#: A stream gives what a batch gives.
+ORACLE_SQL["stream_score"] = ORACLE_SQL["score_requests"]

@@ -13,7 +13,8 @@ from quarry.plans.jobs import Scorer, build_index, index_searcher
 from quarry.schemas import MCC_RISK, C, Q, V
 from quarry.sources import index_files, requests
 from quarry.sources.references import encode_label
-from quarry.sources.shared import new_path
+from quarry.sources.shared import new_path, stash
+from quarry.streaming.scoring import parquet_writer, score_stream
 
 #: Decimals of float results.
 DIGITS = 5
@@ -303,6 +304,20 @@ def score_requests(spark, sf_dir):
     return Scorer(index_searcher(clusters, rows, 8)).score(tables.requests(spark, sf_dir)).select("request_key", "status", "fraud_count", "approved", "body")
 
 
+def stream_score(spark, sf_dir):
+    """The same requests as a stream of four files, a batch each, scored and written by batch."""
+    given, out, progress = (new_path(spark, x) for x in ("stream", "streamed", "progress"))
+    r = tables.requests(spark, sf_dir)
+    r.repartition(4).write.parquet(given)
+    clusters, rows = (stash(x, "index") for x in tables.index(spark, sf_dir))
+    source = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    query = score_stream(source, Scorer(index_searcher(clusters, rows, 8)), parquet_writer(out), progress, availableNow=True)
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+    return spark.read.parquet(out).select("request_key", "status", "fraud_count", "approved", "body")
+
+
 # training
 
 
@@ -365,7 +380,7 @@ QUERIES = {
         block_offsets, block_lane_position, cluster_bbox, cluster_centroids, index_size_estimate, layout_validate,
         nearest_centroid, top_nprobe_clusters, knn_exact_top5, knn_vote, fraud_assessment, score_response_json,
         ivf_fast_vote_nprobe1, ivf_fast_vote_nprobe8, ivf_refined_vote, bbox_prune_candidates, ivf_visited_anti,
-        ivf_recall_vs_exact, confusion_matrix, score_requests, lcg_sequence, kmeans_sample_ids, kmeans_lloyd_1,
+        ivf_recall_vs_exact, confusion_matrix, score_requests, stream_score, lcg_sequence, kmeans_sample_ids, kmeans_lloyd_1,
         kmeans_change_count, kmeanspp_init, kmeans_train, index_roundtrip, index_build,
     )
 }

@@ -9,9 +9,10 @@ from pyspark.sql.window import Window
 
 from quarry.functions.vectors import vector_columns
 from quarry.operators.layout import build
-from quarry.schemas import C, V
+from quarry.schemas import MCC_RISK, C, V
 
-MCCS = ["5411", "5812", "5912", "5944", "7801", "7802", "7995", "4511", "5311", "5999", "0000"]
+#: Codes of the risk table, and one that is not in it.
+MCCS = [*MCC_RISK, "0000"]
 TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 DAY_SECONDS = 86_400
 
@@ -40,8 +41,9 @@ def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each event, with request_key (the event's id).
 
-    The customer's known merchants are those of their three events before, the last transaction is the event before (at
-    a distance made from its value), and the average is over all of a customer's events, in whole cents.
+    The customer's known merchants are those of all their events before, the last transaction is the event before (at
+    a distance made from its value), and the average is over all of a customer's events, in whole cents. A list of known
+    merchants comes from the first event of each customer and merchant, so that no window grows with a customer's events.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = e.select("event_id", "user_id", "event_type", "value", F.col("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -50,7 +52,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = user.orderBy("us", "event_id")
     day = user.orderBy("us").rangeBetween(-DAY_SECONDS * 1_000_000, 0)
     cents = F.round(F.col("value") * 100).cast("long")
-    known = F.filter(F.array(*(F.lag("merchant_id", i).over(before) for i in (1, 2, 3))), lambda x: x.isNotNull())
+    first = e.groupBy("user_id", "merchant_id").agg(F.min(F.struct("us", "event_id")).alias("first"))
+    uses = first.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("first", "merchant_id"))).alias("uses"))  # a customer's different merchants
+    e = e.join(uses, "user_id")
+    known = F.transform(F.filter("uses", lambda x: x["first"] < F.struct("us", "event_id")), lambda x: x["merchant_id"])
     e = e.select(
         "event_id", "event_type", "value", "k", "merchant_id", "at", known.alias("known"),
         (F.sum(cents).over(user) / F.count("*").over(user) / 100).cast("float").alias("average"),

@@ -16,7 +16,7 @@ from quarry.schemas import DIM, HI, LO, MAX_CLUSTERS, SCALE, C, Q
 MAGIC, VERSION = b"IVFX", 3
 #: Value of the empty places of a block.
 PADDING = 0x7FFF
-#: Rows that a binary file may hold: it is made and read on one machine.
+#: Rows that a binary file may hold: it is made and read on one machine. The index as Parquet has no such bound.
 MAX_ROWS = 10_000_000
 _ROWS = "cluster_id int, orig_id long, label int, " + ", ".join(f"{q} int" for q in Q)
 _CLUSTERS = "cluster_id int, n long, row_offset long, blocks long, block_offset long, " + ", ".join([*(f"{x} int" for x in [*LO, *HI]), *(f"{c} float" for c in C)])
@@ -30,14 +30,48 @@ def _frame(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 def write(clusters: DataFrame, rows: DataFrame, path: str) -> None:
     """clusters and rows under path; rows lie together by cluster and id, so that reading some clusters skips the rest."""
+    write_rows(rows, path)
+    write_clusters(clusters, path)
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
     small = rows.select("cluster_id", "orig_id", F.col("label").cast("tinyint").alias("label"), *(F.col(q).cast("smallint").alias(q) for q in Q))
     small.repartitionByRange("cluster_id", "orig_id").sortWithinPartitions("cluster_id", "orig_id").write.parquet(f"{path}/rows")
+
+
+def write_clusters(clusters: DataFrame, path: str) -> None:
     clusters.write.parquet(f"{path}/clusters")
 
 
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").select("cluster_id", "orig_id", F.col("label").cast("int").alias("label"), *(F.col(q).cast("int").alias(q) for q in Q))
+
+
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.parquet(f"{path}/rows")
-    return spark.read.parquet(f"{path}/clusters"), rows.select("cluster_id", "orig_id", F.col("label").cast("int").alias("label"), *(F.col(q).cast("int").alias(q) for q in Q))
+    return spark.read.parquet(f"{path}/clusters"), read_rows(spark, path)
+
+
+def write_file(clusters: DataFrame, rows: DataFrame, path: str) -> int:
+    """The binary file, in any store that Spark writes; flushed, then moved to its name, so that no reader sees half of it. Returns its bytes."""
+    spark, data = rows.sparkSession, to_bytes(clusters, rows)
+    to, part = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + x) for x in ("", ".part"))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        for i in range(0, len(data), 1 << 24):
+            out.write(bytearray(data[i : i + (1 << 24)]))
+        out.hsync()
+    finally:
+        out.close()
+    fs.delete(to, False)
+    if not fs.rename(part, to):
+        raise OSError(f"cannot write {path}")
+    return len(data)
+
+
+def read_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(clusters, rows) of a binary file; ValueError if it is empty or not whole. A file has 2 GB at most, as it is read as one value."""
+    return from_bytes(spark, bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
 
 
 def to_bytes(clusters: DataFrame, rows: DataFrame) -> bytes:

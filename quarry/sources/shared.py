@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder with a local master that has none."""
     sc = spark.sparkContext
@@ -21,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quarry/{_SCOPE.get()}{label}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -31,7 +37,25 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all in it, in any store that Spark writes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete every stashed table of this shared folder. Call it when no result that reads one is still needed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarry")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/quarry")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stashed inside are deleted at the end: write or collect results before. Scopes may lie in each other."""
+    before = _SCOPE.get()
+    token = _SCOPE.set(f"{before}scratch-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        path = f"{shared_dir(spark)}/quarry/{_SCOPE.get()}"
+        _SCOPE.reset(token)
+        delete(spark, path)
