@@ -164,7 +164,7 @@ def request_decode(spark, sf_dir):
         .when(k == 2, F.concat(body, F.lit(" {}")))
         .when(k == 3, F.regexp_replace(body, '"installments":[0-9]+', '"installments":1.5'))
         .when(k == 4, F.regexp_replace(body, '"installments":[0-9]+', '"installments":-1'))
-        .when(k == 5, F.rpad(body, 65_537, " "))
+        .when(k == 5, F.concat(body, F.substring(F.repeat(F.lit(" "), F.lit(65_537)), F.lit(1), 65_537 - F.length(body))))
         .when(k == 6, F.lit("{}"))
         .when(k == 7, F.regexp_replace(body, '"transaction"', '"TRANSACTION"'))
         .otherwise(body)

@@ -71,7 +71,8 @@ def write_file(clusters: DataFrame, rows: DataFrame, path: str) -> int:
 
 def read_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(clusters, rows) of a binary file; ValueError if it is empty or not whole. A file has 2 GB at most, as it is read as one value."""
-    return from_bytes(spark, bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]))
+    found = spark.read.format("binaryFile").load(path).select("content").first()  # Spark leaves out a file without bytes
+    return from_bytes(spark, bytes(found["content"]) if found else b"")
 
 
 def to_bytes(clusters: DataFrame, rows: DataFrame) -> bytes:

@@ -8,10 +8,13 @@ from quarry.functions import features, times, vectors
 from quarry.schemas import DIM, Q
 from quarry.sources import requests
 
+#: By hand, times 10,000. small: 250 of 10,000; 3 of 12; half the average, of ten; hour 23 of 23; a Monday; no last one twice;
+#: 12.5 of 1000 km; 1 of 20; online; no card; known; the risk of 5912; 125 of 10,000. large: all at the top, a Sunday at hour 0
+#: (day 6 of 6), no average, and an unknown merchant. after: 188 whole minutes (3 h 8 min 1 s) of 1440 are 1305.55, 62.5 km are 625.
 GOLDEN = {
-    "a": [41, 1667, 500, 7826, 3333, -10000, -10000, 292, 1500, 0, 10000, 0, 1500, 60],
-    "b": [9506, 8333, 10000, 2174, 8333, -10000, -10000, 9523, 10000, 0, 10000, 10000, 7500, 55],
-    "c": [9506, 8333, 10000, 2174, 8333, 1313, 2459, 9523, 10000, 0, 10000, 10000, 7500, 55],
+    "small": [250, 2500, 500, 10000, 0, -10000, -10000, 125, 500, 10000, 0, 0, 2000, 125],
+    "large": [10000, 10000, 10000, 0, 10000, -10000, -10000, 10000, 10000, 0, 10000, 10000, 8500, 10000],
+    "after": [250, 2500, 500, 10000, 0, 1306, 625, 125, 500, 10000, 0, 0, 2000, 125],
 }
 
 
@@ -26,9 +29,11 @@ def test_golden_vectors(spark):
 
 
 def test_golden_distance(spark):
-    df = spark.createDataFrame([(*GOLDEN["a"], *GOLDEN["b"])], [*(f"a{i}" for i in range(DIM)), *(f"b{i}" for i in range(DIM))])
+    """Two vectors that differ by 3, 4 and, negatively, 12 in three dimensions, and by the whole range in one."""
+    a, b = [0] * 11 + [10000, 5, 7], [3, 4, -12] + [0] * 8 + [-10000, 5, 7]
+    df = spark.createDataFrame([(*a, *b)], [*(f"a{i}" for i in range(DIM)), *(f"b{i}" for i in range(DIM))])
     d = vectors.int_distance([F.col(f"a{i}") for i in range(DIM)], [F.col(f"b{i}") for i in range(DIM)])
-    assert df.select(d.cast("long").alias("d")).first()["d"] == 574678271
+    assert df.select(d.cast("long").alias("d")).first()["d"] == 9 + 16 + 144 + 400_000_000
 
 
 @pytest.mark.parametrize(
@@ -53,7 +58,31 @@ def test_golden_distance(spark):
     ],
 )
 def test_status(spark, change, status):
-    assert requests.decode(bodies(spark, REQUEST_A | change)).first()["status"] == status
+    for usual in (True, False):
+        assert requests.decode(bodies(spark, REQUEST_A | change), usual=usual).first()["status"] == status
+
+
+def test_bodies_of_the_usual_form_give_what_the_parser_gives(spark):
+    """The pattern decides nothing that a parse of every body would not, with fields of every kind in bodies near the usual form."""
+    import random
+    import re
+
+    draw = random.Random(4)
+    values = ['""', '"a\\u00e9\\n"', '"a\\q"', '"é€\U0001f600"', '"\\ud800"', "0", "-0", "1.5", "01", "1e2", "-7", "4294967295", "4294967296", "9" * 31, "3.5e38", "true", "null", "[]", '["x",null]', '["x",]', "{}", '"\t"', ".5", "1."]
+    whole = json.dumps(REQUEST_C)
+    given = [whole, whole.replace(" ", ""), f" \n{whole}\r\t", whole + "\u00a0", whole + "\n}", whole.replace('"id"', '"ID"'), json.dumps(REQUEST_A, ensure_ascii=False)]
+    places = [m.span(1) for m in re.finditer(r': ("[^"]*"|-?[0-9.]+|true|false|null|\[[^]]*\])', whole)]
+    for a, z in places:
+        given += [whole[:a] + v + whole[z:] for v in values]
+    for _ in range(300):
+        at = draw.randrange(len(whole))
+        given.append(whole[:at] + draw.choice(["", "x", '"', ",", " ", "{", "}", "1"]) + whole[at + draw.randrange(2) :])
+    df = bodies(spark, *given)
+    columns = ["request_key", "status", "transaction", "customer", "merchant", "terminal", "last_transaction", "id"]
+    fast, slow = (sorted(map(str, requests.decode(df, usual=x).select(columns).collect())) for x in (True, False))
+    assert fast == slow
+    assert sum("status=200" in x for x in fast) > 50
+    assert df.filter(F.col("body").rlike(requests.USUAL)).count() > 50
 
 
 def test_bodies(spark):

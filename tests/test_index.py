@@ -102,7 +102,7 @@ def test_layout(spark):
     assert (got[3]["lo0"], got[3]["hi13"]) == (0, 0)
     place = layout.places(rows).filter("cluster_id = 1").orderBy("orig_id").collect()
     assert [(r["position"], r["block"], r["lane"]) for r in place] == [(i, i // 8, i % 8) for i in range(25)]
-    assert layout.validate(clusters, rows).first().asDict() == {"unknown_clusters": 0, "wrong_counts": 0, "wrong_offsets": 0, "rows": 75}
+    assert layout.validate(clusters, rows).first().asDict() == {"unknown_clusters": 0, "wrong_counts": 0, "wrong_offsets": 0, "wrong_blocks": 0, "wrong_block_offsets": 0, "unsound_rows": 0, "rows": 75}
 
 
 def test_validation_finds_damage(spark):
@@ -110,6 +110,10 @@ def test_validation_finds_damage(spark):
     assert layout.validate(clusters.filter("cluster_id <> 2"), rows).first()["unknown_clusters"] == 1
     assert layout.validate(clusters, rows.filter("orig_id <> 4")).first()["wrong_counts"] == 1
     assert layout.validate(clusters.withColumn("row_offset", F.col("row_offset") + 1), rows).first()["wrong_offsets"] == 4
+    assert layout.validate(clusters.withColumn("blocks", F.col("blocks") + 1), rows).first()["wrong_blocks"] == 4
+    assert layout.validate(clusters.withColumn("block_offset", F.col("block_offset") + 1), rows).first()["wrong_block_offsets"] == 4
+    odd = F.when(F.col("orig_id") % 10 == 0, 2).when(F.col("orig_id") % 10 == 1, None).otherwise(F.col("label"))
+    assert layout.validate(clusters, rows.withColumn("label", odd)).first()["unsound_rows"] == 16
 
 
 def test_round_trips(spark, tmp_path):
@@ -123,6 +127,18 @@ def test_round_trips(spark, tmp_path):
     assert sorted(clusters3.select(clusters.columns).collect()) == sorted(clusters.collect())
 
 
+def test_binary_file(spark, tmp_path):
+    clusters, rows = built(spark)
+    assert index_files.write_file(clusters, rows, f"{tmp_path}/index.bin") == layout.estimate_bytes(clusters).first()["bytes"]
+    index_files.write_file(clusters, rows, f"{tmp_path}/index.bin")  # again, over the first
+    clusters2, rows2 = index_files.read_file(spark, f"{tmp_path}/index.bin")
+    assert sorted(rows2.select(rows.columns).collect()) == sorted(rows.collect())
+    assert sorted(clusters2.select(clusters.columns).collect()) == sorted(clusters.collect())
+    (tmp_path / "empty").write_bytes(b"")
+    with pytest.raises(ValueError, match="empty"):
+        index_files.read_file(spark, f"{tmp_path}/empty")
+
+
 def test_empty_round_trip(spark):
     clusters, rows = built(spark)
     empty = layout.build(spark.createDataFrame([], ", ".join(["orig_id long", "label int", "cluster_id int", *(f"{v} float" for v in V)])), np.zeros((2, DIM), "f4"))
@@ -157,6 +173,27 @@ def test_references_from_json(spark, tmp_path):
     assert spark.createDataFrame([("fraud",), ("x",), (None,)], "l string").select(encode_label(F.col("l"))).collect() == [(1,), (0,), (0,)]
 
 
+def test_references_in_parts_and_with_nested_fields(spark, tmp_path):
+    rows = [{"vector": [i / 3000], "label": "fraud" if i % 7 == 0 else 'le"g[i],t'} for i in range(3000)]
+    want = [(i, int(i % 7 == 0), round(i / 3000 * 10000)) for i in range(3000)]
+    (tmp_path / "wide.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "nested.json").write_text(json.dumps([r | {"more": {"a": 1}} for r in rows]))
+    (tmp_path / "none.json").write_text(" [ ]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for name in ("wide", "nested"):
+            got = read_json(spark, f"{tmp_path}/{name}.json")
+            assert [tuple(r) for r in got.orderBy("orig_id").select("orig_id", "label", "q0").collect()] == want
+        assert spark.read.option("lineSep", "}").text(f"{tmp_path}/wide.json").rdd.getNumPartitions() > 1
+        assert read_json(spark, f"{tmp_path}/none.json").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "cut.json").write_text(json.dumps(rows)[:-30])
+    with pytest.raises(Exception):
+        read_json(spark, f"{tmp_path}/cut.json").count()
+
+
 def test_configs():
     assert BuildConfig.from_env({}) == BuildConfig(512, 10) and BuildConfig.from_env({"QUARRY_CLUSTERS": "7"}).clusters == 7
     for bad in ({"QUARRY_CLUSTERS": "0"}, {"QUARRY_CLUSTERS": "4097"}, {"QUARRY_ITERATIONS": "x"}, {"QUARRY_SEED": "-1"}):

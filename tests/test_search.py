@@ -132,3 +132,53 @@ def test_scorer_reports_invalid_requests(spark):
     assert got[1]["body"] is None and got[0]["body"] is not None
     with pytest.raises(ValueError, match="needed"):
         Scorer(None)
+
+
+def test_requests_without_an_answer_are_errors(spark):
+    from test_features import bodies
+
+    from quarry.sources import requests
+
+    some = Scorer(lambda q: q.filter("id = 0").select("id", F.lit(4).alias("fraud_count")))
+    got = some.score(requests.decode(bodies(spark, REQUEST_A, REQUEST_B, "{}"))).orderBy("request_key").collect()
+    assert [(r["status"], r["fraud_count"]) for r in got] == [(200, 4), (500, None), (400, None)] and got[1]["body"] is None
+
+
+def test_top_five_by_sorted_lists(spark):
+    """The same five by sorting all candidates of a query in one list."""
+    rng = np.random.default_rng(11)
+    rows = [(int(q), int(d), int(i), int(i) % 2) for q in range(30) for d, i in zip(rng.integers(0, 9, q + 1), rng.permutation(500)[: q + 1], strict=True)]
+    found = spark.createDataFrame(rows, "id long, dist long, orig_id long, label int")
+    lists = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "orig_id", "label"))), 1, 5).alias("five"))
+    want = lists.select("id", F.posexplode("five").alias("at", "r")).select("id", (F.col("at") + 1).alias("rank"), "r.orig_id", "r.dist", "r.label")
+    assert sorted(map(tuple, knn.top(found).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 23])
+def test_nearest_clusters_by_repeated_minima(spark, n):
+    """The same probes by taking the nearest cluster, the lowest among equals, n times."""
+    rng = np.random.default_rng(n)
+    centres = rng.integers(-2, 3, 23) / 4
+    index = make_index(spark, [[(1, 1)]] * 23, centres)
+    asked = (0.0, 0.25, -0.3)
+    got = {(r["id"], r["probe"]): r["cluster_id"] for r in search.probes(ask(spark, *asked), index[0], n).collect()}
+    for i, x in enumerate(asked):
+        left = {c: (np.float32(x) - np.float32(v)) ** 2 for c, v in enumerate(centres)}
+        for k in range(n):
+            best = min(left, key=lambda c: (left[c], c))
+            assert got[i, k + 1] == best
+            del left[best]
+
+
+def test_blocks_do_not_depend_on_arrow_batches(spark):
+    rows = spark.range(0, 5000, 1, 2).select(F.col("id"), (F.col("id") % 3).cast("int").alias("c"), *(F.lit(1).alias(q) for q in Q))
+    before, seen = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for size in ("10000", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            packed = knn.pack(rows, "id", by="c", block=700).collect()
+            seen.append(sorted((r["by"], len(r["ids"]) // 8) for r in packed))
+            assert sorted(np.frombuffer(b"".join(r["ids"] for r in packed), "i8").tolist()) == list(range(5000))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert seen[0] == seen[1] and len(seen[0]) == 12 and max(n for _, n in seen[0]) == 700
