@@ -3,8 +3,9 @@
 An Aho-Corasick automaton over the pieces walks the text once; at each position the output links name every piece that
 ends there, and each relaxes the best score of the prefix that ends there (Viterbi). A character that no one-character
 piece covers costs as much as the worst piece and UNKNOWN more, and is written as its bytes. Scores are those of the
-given model file; a file of merge pieces is thus searched for its best total score, as the library itself does when the
-file's model type is set to unigram.
+given model file; a file of merge pieces is thus searched for its best total score, where the library replays the merges:
+over half of all different words come out otherwise. With the file's model type set to unigram, the library differs in
+about one word of 200, and its total score is then the worse one.
 """
 
 from __future__ import annotations

@@ -747,6 +747,26 @@ def test_pieces_against_another_unigram_search(model):
     assert all(score(model["pieces"].search(c)) == pytest.approx(score(other.encode(c).ids)) for c in chunks)
 
 
+def test_pieces_against_the_library(model):
+    """The ids of the installed library, with the file as it is (merges) and as a unigram file."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    with open(model["path"], "rb") as f:
+        file = proto.ModelProto.FromString(f.read())
+    merges = sentencepiece.SentencePieceProcessor(model_file=model["path"])
+    file.trainer_spec.model_type = 1
+    unigram = sentencepiece.SentencePieceProcessor(model_proto=file.SerializeToString())
+    texts = [t or "" for t in ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table()["text"].to_pylist()]
+    words_ = sorted({w for t in texts for w in WORD(t)})
+    own = [model["pieces"].encode(w).tolist() for w in words_]
+    score = lambda ids: sum(file.pieces[i].score for i in ids)
+    other = [(a, b) for a, b in zip(own, unigram.encode(words_), strict=True) if a != b]
+    assert len(other) < 0.01 * len(words_) and all(score(a) >= score(b) for a, b in other)
+    assert 0.4 < np.mean([a != b for a, b in zip(own, merges.encode(words_), strict=True)]) < 0.7
+    assert all(merges.decode(a) == w for a, w in zip(own[:3000], words_, strict=False))
+
+
 def test_pieces_query(spark, folder, model):
     rows = ODD + [(200 + i, t) for i, t in enumerate([*PIECE_TEXTS, "a▁b"])]
     got = pieces.op2_sentencepiece(spark, folder(rows)).collect()
