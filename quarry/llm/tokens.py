@@ -1,9 +1,9 @@
 """Token ids in a fixed-width, bit-packed file format.
 
 Documents are range-partitioned and sorted by id, encoded, and packed in blocks of whole documents. A block is a row of
-a Parquet table (part, block, part_start, doc_ids, n_tokens, bits, payload): `payload` holds the ids of the block in the
+a Parquet table (part, block, part_start, first_id, last_id, doc_ids, n_tokens, bits, payload): `payload` holds the ids of the block in the
 fewest bits that hold every id of the vocabulary, least significant bit first; `part_start` is the block's offset in its
-part in ids. Offsets of whole parts follow from the table, so any block can be read alone. Parquet carries the blocks to
+part in ids; `first_id` and `last_id` (null for null ids alone) let a reader skip other blocks. Offsets of whole parts follow from the table, so any block can be read alone. Parquet carries the blocks to
 any store that Spark can write.
 """
 
@@ -217,8 +217,8 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-BLOCKS = "part int, block long, part_start long, doc_ids array<long>, n_tokens array<int>, bits int, payload binary"
-_BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("part_start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("bits", pa.int32()), ("payload", pa.binary())])
+BLOCKS = "part int, block long, part_start long, first_id long, last_id long, doc_ids array<long>, n_tokens array<int>, bits int, payload binary"
+_BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("part_start", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("bits", pa.int32()), ("payload", pa.binary())])
 
 
 def _packed(path: str, end: int | None, block_ids: int):
@@ -232,7 +232,8 @@ def _packed(path: str, end: int | None, block_ids: int):
 
         def flush():
             nonlocal block, start, held, docs, sizes, parts
-            row = [[part], [block], [start], [pa.concat_arrays(docs)], [np.concatenate(sizes)], [bits], [pack(np.concatenate(parts), bits)]]
+            ends = pc.min_max(pa.chunked_array(docs))
+            row = [[part], [block], [start], [ends["min"].as_py()], [ends["max"].as_py()], [pa.concat_arrays(docs)], [np.concatenate(sizes)], [bits], [pack(np.concatenate(parts), bits)]]
             block, start, held, docs, sizes, parts = block + 1, start + held, 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
@@ -305,10 +306,12 @@ def _ids(batches):
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, ids) of all documents, or of some: then only blocks that hold one of them are unpacked."""
+    """(doc_id, ids) of all documents, or of some: then only blocks that may hold one of them are read, and only those that do are unpacked."""
     blocks = spark.read.parquet(path)
     if doc_ids is not None:
-        blocks = blocks.filter(F.arrays_overlap("doc_ids", F.array(*(F.lit(int(x)) for x in doc_ids)).cast("array<long>")))
+        # a range that Parquet's own statistics are held against, then each block's list
+        low, high = min(map(int, doc_ids), default=0), max(map(int, doc_ids), default=-1)
+        blocks = blocks.filter((F.col("first_id") <= high) & (F.col("last_id") >= low)).filter(F.arrays_overlap("doc_ids", F.array(*(F.lit(int(x)) for x in doc_ids)).cast("array<long>")))
     out = blocks.mapInArrow(_ids, "doc_id long, ids array<long>")
     return out if doc_ids is None else out.filter(F.col("doc_id").isin([int(x) for x in doc_ids]))
 

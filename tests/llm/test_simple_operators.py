@@ -204,6 +204,13 @@ def test_token_blocks_and_random_access(spark, tmp_path):
     got = {r["doc_id"]: r["ids"] for r in tokens.read_tokens(spark, f"{tmp_path}/t", [7, 123, 9999]).collect()}
     assert got == {i: [*of.encode(f"text number {i} " * (i % 5), add_special_tokens=False).ids, 1] for i in (7, 123)}
     assert tokens.read_tokens(spark, f"{tmp_path}/t").count() == 200
+    assert tokens.read_tokens(spark, f"{tmp_path}/t", []).count() == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = tokens.read_tokens(spark, f"{tmp_path}/t", [7])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThanOrEqual(first_id,7)" in plan and "GreaterThanOrEqual(last_id,7)" in plan
 
 
 def test_targets():
