@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 A word's index vector is the sum of sparse ternary random vectors of the word, its first and last letters and its form,
-found by hash, so that every word has one. A frequent word of the fit sample also has a context vector: the sum of the
-index vectors of its neighbours. A document is the mean of both over all its words, with how much it repeats itself.
-A numpy network is fitted on a bounded sample of labelled rows; part of them sets the temperature of its probabilities.
+found by hash, so that every word has one. A frequent word also has a context vector: the sum of the index vectors of its
+neighbours. Counts of words and context vectors are those of all documents, labelled or not. A document is the mean of both
+over all its words, with how much it repeats itself. A numpy network is fitted on a bounded sample of labelled rows; part of them sets the temperature of its probabilities.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,60 +25,57 @@ VOCABULARY, REACH = 4096, 2
 HIDDEN, EPOCHS, RATE, DECAY = 24, 400, 0.02, 1e-3
 #: One in so many fit rows sets the temperature only.
 CALIBRATION = 5
-#: Word vectors that a worker holds, and words whose vectors are gathered at once.
-KEEP, BLOCK = 60_000, 1 << 14
+#: Words whose vectors are gathered at once.
+BLOCK = 1 << 16
 
 
 def _table() -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    t = np.zeros((TABLE, DIM), "i2")
+    t = np.zeros((TABLE, DIM), "i1")
     for _ in range(4):
-        t[np.arange(TABLE), rng.integers(0, DIM, TABLE)] += rng.choice(np.array([-1, 1], "i2"), TABLE)
+        t[np.arange(TABLE), rng.integers(0, DIM, TABLE)] += rng.choice(np.array([-1, 1], "i1"), TABLE)
     return t
 
 
 _RANDOM = _table()
 
 
-def index_vectors(words: list[str]) -> np.ndarray:
-    """Index vectors (whole numbers) of words."""
-    at = np.empty((len(words), 4), "i8")
-    crc = zlib.crc32
-    for i, w in enumerate(words):
-        first, last = w[0], w[-1]
-        form = f"{first.isupper()}{len(w) > 1 and w.isupper()}{'' if last.isalnum() else last}{w.isalpha()}{min(len(w), 12)}"
-        at[i] = crc(w.lower().encode()), crc(("<" + w[:3]).encode()), crc((w[-3:] + ">").encode()), crc(("=" + form).encode())
-    return _RANDOM[at % TABLE].sum(1, dtype="i4") if len(words) else np.empty((0, DIM), "i4")
+def _places(parts) -> np.ndarray:
+    """Rows of the random table, by the CRC-32 of each string; every different string is hashed once."""
+    coded = parts.dictionary_encode()
+    crc = np.fromiter(map(zlib.crc32, coded.dictionary.cast(pa.binary()).to_pylist()), "i8", len(coded.dictionary))
+    return (crc % TABLE)[coded.indices.to_numpy()] if len(crc) else np.empty(0, "i8")
+
+
+def index_vectors(words: pa.Array | list[str]) -> np.ndarray:
+    """Index vectors of words: whole numbers from -16 to 16, so that four of them add up in a byte."""
+    words = pa.array(words, pa.string())
+    say = lambda x: pc.if_else(x, "True", "False")
+    cut = pc.utf8_slice_codeunits
+    first, last, length = cut(words, 0, 1), cut(words, -1), pc.utf8_length(words)
+    capitals = pc.and_(pc.greater(length, 1), pc.utf8_is_upper(words))
+    mark = pc.if_else(pc.utf8_is_alnum(last), "", last)
+    size = pc.min_element_wise(length, pa.scalar(12, pa.int32())).cast(pa.string())
+    form = pc.binary_join_element_wise("=", say(pc.utf8_is_upper(first)), say(capitals), mark, say(pc.utf8_is_alpha(words)), size, "")
+    start, end = pc.binary_join_element_wise("<", cut(words, 0, 3), ""), pc.binary_join_element_wise(cut(words, -3), ">", "")
+    out = _RANDOM[_places(pc.utf8_lower(words))]
+    for part in (start, end, form):
+        out += _RANDOM[_places(part)]
+    return out
 
 
 class Vectors:
-    """Vectors (index and context) of words, those met before kept up to KEEP."""
+    """Context vectors of the words of a vocabulary."""
 
     def __init__(self, context: dict[str, np.ndarray]):
-        self.context = context
-        self.clear()
-
-    def clear(self):
-        self.row, self.matrix = {}, np.zeros((KEEP, 2 * DIM), "f4")
-
-    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(matrix, its row for each word)."""
-        new = [w for w in words if w not in self.row]
-        if len(self.row) + len(new) > len(self.matrix):
-            self.clear()
-            new = words
-            if len(new) > KEEP:
-                self.matrix = np.zeros((len(new), 2 * DIM), "f4")
-        if new:
-            first = len(self.row)
-            at = self.matrix[first : first + len(new)]
-            at[:, :DIM], at[:, DIM:] = index_vectors(new), 0
-            for i, w in enumerate(new, first):
-                c = self.context.get(w)
-                if c is not None:
-                    self.matrix[i, DIM:] = c
-                self.row[w] = i
-        return self.matrix, np.fromiter(map(self.row.__getitem__, words), "i8", len(words))
+        self.vocabulary = pa.array(list(context), pa.string())
+        self.matrix = np.zeros((len(context) + 1, DIM), "f4")
+        for i, v in enumerate(context.values()):
+            self.matrix[i] = v
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Rows of `matrix`; the last one, zeros, for a word without a context vector."""
+        return pc.fill_null(pc.index_in(words, self.vocabulary), len(self.vocabulary)).to_numpy()
 
 
 FEATURES = 2 * DIM + 4
@@ -87,11 +85,12 @@ def pooled(texts: pa.Array, vectors: Vectors) -> np.ndarray:
     """A row of FEATURES for each text; zeros for one without words."""
     words = Words(texts)
     out = np.zeros((len(words.n), FEATURES))
-    matrix, row = vectors.rows(words.unique.to_pylist())
+    index, place = index_vectors(words.unique), vectors.places(words.unique)
     for a in range(0, len(words.codes), BLOCK):
-        doc = words.doc[a : a + BLOCK]
+        doc, codes = words.doc[a : a + BLOCK], words.codes[a : a + BLOCK]
         starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        out[doc[starts], : 2 * DIM] += np.add.reduceat(matrix[row[words.codes[a : a + BLOCK]]], starts, axis=0, dtype="f8")
+        out[doc[starts], :DIM] += np.add.reduceat(index[codes], starts, axis=0, dtype="i4")
+        out[doc[starts], DIM : 2 * DIM] += np.add.reduceat(vectors.matrix[place[codes]], starts, axis=0, dtype="f8")
     n = np.maximum(words.n, 1)[:, None]
     out[:, : 2 * DIM] /= n
     out[:, 2 * DIM] = words.doubled() / n[:, 0]
@@ -101,31 +100,65 @@ def pooled(texts: pa.Array, vectors: Vectors) -> np.ndarray:
     return out
 
 
+def _counted(batches):
+    for b in chunks(batches):
+        words = Words(b.column("text"))
+        yield pa.RecordBatch.from_arrays([words.unique, pa.array(np.bincount(words.codes, minlength=len(words.unique)))], names=["word", "n"])
+
+
+#: A row of sums that a partition sends on for a word of the vocabulary.
+SUMS = [f"d{i}" for i in range(DIM)]
+
+
 def _contexts(vocabulary: list[str]):
-    place = {w: i for i, w in enumerate(vocabulary)}
+    """A mapInArrow function: for each word of the vocabulary that a partition holds, its number and the sums of its context."""
 
     def run(batches):
-        total = np.zeros((len(vocabulary), DIM), "i8")
+        total, known = np.zeros((len(vocabulary), DIM), "i8"), pa.array(vocabulary, pa.string())
         for b in chunks(batches):
             words = Words(b.column("text"))
-            unique = words.unique.to_pylist()
-            vector, of = index_vectors(unique), np.array([place.get(w, -1) for w in unique], "i8")
+            vector, of = index_vectors(words.unique), pc.fill_null(pc.index_in(words.unique, known), -1).to_numpy().astype("i2")
             for a in range(0, len(words.codes), BLOCK):
                 low, high = max(0, a - REACH), min(len(words.codes), a + BLOCK + REACH)
                 codes, doc = words.codes[low:high], words.doc[low:high]
-                v, near = vector[codes], np.zeros((high - low, DIM), "i8")
+                # two neighbours on each side: at most 64 from zero, which a byte holds
+                v, near = vector[codes], np.zeros((high - low, DIM), "i1")
                 for k in range(1, REACH + 1):
-                    same = (doc[k:] == doc[:-k])[:, None]
-                    near[k:] += np.where(same, v[:-k], 0)
-                    near[:-k] += np.where(same, v[k:], 0)
-                here = np.arange(low, high)
-                use = (here >= a) & (here < a + BLOCK) & (of[codes] >= 0)
-                np.add.at(total, of[codes[use]], near[use])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+                    apart = np.flatnonzero(doc[k:] != doc[:-k])
+                    for to, by, edge in ((near[k:], v[:-k], apart + k), (near[:-k], v[k:], apart)):
+                        kept = near[edge]
+                        to += by
+                        near[edge] = kept
+                to = of[codes]
+                to[: a - low] = to[a + BLOCK - low :] = -1
+                order = np.argsort(to, kind="stable")
+                order = order[np.searchsorted(to[order], 0) :]
+                if len(order):
+                    starts = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0]))
+                    total[to[order[starts]]] += np.add.reduceat(near[order], starts, axis=0, dtype="i4")
+        use = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), *(pa.array(x) for x in total[use].T)], names=["word", *SUMS])
 
     return run
 
 
+def contexts(docs: DataFrame) -> dict[str, np.ndarray]:
+    """Context vectors, of length 1 or 0, of the VOCABULARY most frequent words of all texts (ties: by code point).
+
+    Two passes over the texts. What a partition sends on are its different words with counts, then VOCABULARY rows of
+    sums at most; the driver gets VOCABULARY rows, whatever the size of the input.
+    """
+    texts = docs.select("text")
+    counted = texts.mapInArrow(trimmed(_counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    sums = texts.mapInArrow(trimmed(_contexts(vocabulary)), ", ".join(["word int", *(f"{c} long" for c in SUMS)]))
+    total = np.zeros((len(vocabulary), DIM))
+    for r in sums.groupBy("word").agg(*(F.sum(c) for c in SUMS)).collect() if vocabulary else ():
+        total[r[0]] = r[1:]
+    length = np.sqrt((total**2).sum(1, keepdims=True))
+    return dict(zip(vocabulary, (total / np.maximum(length, 1)).astype("f4"), strict=True))
+
+
 class Network:
     """Two layers, fitted with Adam on standardised rows; `temperature` divides the logit."""
 
@@ -174,70 +207,58 @@ class Constant:
         return np.full(len(x), self.share)
 
 
-_KEPT: dict = {}
-
-
-def _vectors(context: dict, token: int) -> Vectors:
-    """One per worker and fit, kept for the partitions of a fit but not beyond."""
-    if _KEPT.get("token") != token:
-        _KEPT.clear()
-        _KEPT.update(token=token, vectors=Vectors(context))
-    return _KEPT["vectors"]
-
-
-def _pooled(context, token: int):
+def _pooled(context):
     def run(batches):
+        vectors = Vectors(context.value)
         for b in chunks(batches):
-            x = pooled(b.column("text"), _vectors(context.value, token))
+            x = pooled(b.column("text"), vectors)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     return run
 
 
-def _scored(context, model, token: int, keep_text: bool):
+def _scored(context, model, keep_text: bool):
     def run(batches):
+        vectors = Vectors(context.value)
         for b in chunks(batches):
             names = [c for c in b.schema.names if keep_text or c != "text"]
-            p = np.clip(np.round(model.probability(pooled(b.column("text"), _vectors(context.value, token))), 6), 0, 1)
+            p = np.clip(np.round(model.probability(pooled(b.column("text"), vectors)), 6), 0, 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=[*names, "score", "predicted"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
-    """(broadcast context vectors, model, token of the fit) from at most `fit_rows` labelled rows that are not held out."""
+    """(broadcast context vectors, model): contexts from all documents, the network from at most `fit_rows` labelled rows that are not held out."""
     spark = docs.sparkSession
-    # fit_rows rows at most; their texts are read several times
+    # fit_rows rows at most
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled_ids(labels, fit_rows)), "doc_id")
     with text_settings(docs):
         sample = stash(sample, "sample")
-        counted = sample.select(F.explode(F.split("text", SPACE)).alias("word")).filter("word <> ''").groupBy("word").count()
-        vocabulary = [r["word"] for r in counted.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()]
-        parts = sample.select("text").repartition(8).mapInArrow(_contexts(vocabulary), "total binary").collect() if vocabulary else []
-        total = sum((np.frombuffer(r["total"], "i8").reshape(-1, DIM) for r in parts), np.zeros((len(vocabulary), DIM), "i8"))
-        length = np.sqrt((total.astype("f8") ** 2).sum(1, keepdims=True))
-        context = dict(zip(vocabulary, (total / np.maximum(length, 1)).astype("f4"), strict=True))
+        shares = sample.groupBy("quality").count().collect()
+        if len(shares) < 2:  # nothing to tell apart
+            return spark.sparkContext.broadcast({}), Constant(float(shares[0]["quality"]) if shares else 0.5)
         # VOCABULARY vectors of DIM numbers
-        token, shared = zlib.crc32(total.tobytes() + repr(vocabulary).encode()), spark.sparkContext.broadcast(context)
-        rows = sample.mapInArrow(_pooled(shared, token), "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    y = rows["quality"].to_numpy()
-    if len(set(y.tolist())) < 2:
-        return shared, Constant(float(y.mean()) if len(y) else 0.5), token
-    return shared, Network(np.stack(rows["x"].to_list()), y), token
+        shared = spark.sparkContext.broadcast(contexts(docs))
+        rows = sample.mapInArrow(_pooled(shared), "doc_id long, quality int, x array<double>").toPandas()
+    # repeated ids have several texts: the order must not depend on partitions
+    x = np.stack(rows["x"].to_list())
+    order = np.lexsort((*x.T[::-1], rows["doc_id"].to_numpy()))
+    return shared, Network(x[order], rows["quality"].to_numpy()[order])
 
 
 def score(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, keep_text: bool = False) -> DataFrame:
     """docs (doc_id, text, further columns) -> doc_id, further columns, score, predicted: one row for each row.
 
     The text stays only with keep_text.
-    Whole texts are read; null and empty texts are scored like a text without words. Labels, languages, sources and ids
+    Whole texts are read, four times in all: write docs first where they are costly to make. Null and empty texts are scored like a text without words. Labels, languages, sources and ids
     are no inputs of a score. Repeated rows and null ids stay. With labels of one class, or none, every score is the share
     of label 1, or 0.5. Columns named score or predicted are replaced.
     """
     docs = without(docs, "score", "predicted")
-    context, model, token = fit(docs, labels, fit_rows)
+    context, model = fit(docs, labels, fit_rows)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if keep_text or f.name != "text")
-    return docs.mapInArrow(trimmed(_scored(context, model, token, keep_text)), f"{schema}, score double, predicted int")
+    return docs.mapInArrow(trimmed(_scored(context, model, keep_text)), f"{schema}, score double, predicted int")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

@@ -592,9 +592,11 @@ def test_context_vectors_against_a_plain_version():
     texts = ["a b c a d", "", None, "b a", "c c c c c c a b " * 40]
     words_ = ["a", "c", "zz"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    got = np.frombuffer(next(quality._contexts(words_)(iter([batch]))).column(0)[0].as_py(), "i8").reshape(-1, quality.DIM)
+    sums = next(quality._contexts(words_)(iter([batch, batch.slice(3)])))
+    got = np.zeros((3, quality.DIM))
+    got[sums.column("word").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in quality.SUMS], 1)
     want = np.zeros((3, quality.DIM))
-    for t in texts:
+    for t in texts + texts[3:]:
         w = WORD(t or "")
         for i, x in enumerate(w):
             if x in words_:
@@ -602,6 +604,25 @@ def test_context_vectors_against_a_plain_version():
     assert (got == want).all()
 
 
+def test_contexts_are_those_of_all_documents(spark, monkeypatch):
+    """Vocabulary and sums, over any partitions, against the same word by word."""
+    monkeypatch.setattr(quality, "VOCABULARY", 4)
+    texts = [None, "", "b a b c", "a d é d a", "é é e f", *(f"a b x{i} é c" for i in range(30)), "c a"]
+    count, sums = collections.Counter(), {}
+    for t in texts:
+        w = WORD(t or "")
+        count.update(w)
+        for i, x in enumerate(w):
+            sums[x] = sums.get(x, 0) + sum((plain_index_vector(w[j]) for j in range(max(0, i - 2), min(len(w), i + 3)) if j != i), np.zeros(quality.DIM))
+    best = sorted(count, key=lambda x: (-count[x], x))[:4]
+    for parts in (1, 5):
+        got = quality.contexts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts))
+        assert list(got) == best
+        for x in best:
+            np.testing.assert_allclose(got[x], sums[x] / np.linalg.norm(sums[x]), atol=1e-6)
+    assert quality.contexts(spark.createDataFrame([(None,), (" ",)], "text string")) == {}
+
+
 def test_the_network_is_a_minimum_of_its_loss(monkeypatch):
     """Gradients by small differences: fitted weights lie at a minimum, and the temperature at the best of its grid."""
     rng = np.random.default_rng(3)
