@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.sources.shared import new_path, purge, shared_dir, stash  # noqa: F401
+from quarry.sources.shared import new_path, purge, scratch, shared_dir, stash  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

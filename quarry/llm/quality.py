@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, chunks, pick, stash, text_settings, trimmed, without
+from quarry.llm.common import chunks, pick, scratch, stash, text_settings, trimmed, without
 from quarry.llm.words import FIT_ROWS, Words, held_out, labelled_ids
 
 DIM, TABLE, SEED = 32, 1 << 13, 5
@@ -146,11 +146,18 @@ def contexts(docs: DataFrame) -> dict[str, np.ndarray]:
     """Context vectors, of length 1 or 0, of the VOCABULARY most frequent words of all texts (ties: by code point).
 
     Two passes over the texts. What a partition sends on are its different words with counts, then VOCABULARY rows of
-    sums at most; the driver gets VOCABULARY rows, whatever the size of the input.
+    sums at most. Words are counted by level, an eighth of a power of two, first: the driver gets those of the levels that
+    hold the VOCABULARY most frequent, not as many of every partition.
     """
     texts = docs.select("text")
-    counted = texts.mapInArrow(trimmed(_counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    with scratch(docs.sparkSession):
+        counted = texts.mapInArrow(trimmed(_counted), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = stash(counted.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "words")
+        levels = sorted(counted.groupBy("level").count().collect(), reverse=True)  # 8 * 63 rows at most
+        above = np.cumsum([r["count"] for r in levels])
+        least = levels[min(int(np.searchsorted(above, VOCABULARY)), len(levels) - 1)]["level"] if levels else 0
+        frequent = counted.filter(F.col("level") >= least).orderBy(F.desc("n"), "word").limit(VOCABULARY)
+        vocabulary = [r["word"] for r in frequent.collect()]
     sums = texts.mapInArrow(trimmed(_contexts(vocabulary)), ", ".join(["word int", *(f"{c} long" for c in SUMS)]))
     total = np.zeros((len(vocabulary), DIM))
     for r in sums.groupBy("word").agg(*(F.sum(c) for c in SUMS)).collect() if vocabulary else ():
@@ -233,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS):
     spark = docs.sparkSession
     # fit_rows rows at most
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled_ids(labels, fit_rows)), "doc_id")
-    with text_settings(docs):
+    with scratch(spark), text_settings(docs):
         sample = stash(sample, "sample")
         shares = sample.groupBy("quality").count().collect()
         if len(shares) < 2:  # nothing to tell apart
