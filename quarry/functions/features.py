@@ -23,8 +23,9 @@ def mcc_risk(mcc: Column) -> Column:
 
 def is_known(merchant: Column, known: Column) -> Column:
     """Whether a merchant is in a list; a null list is empty, and a null element an empty name."""
-    names = F.transform(F.coalesce(known, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
-    return F.array_contains(names, F.coalesce(merchant, F.lit("")))
+    name = F.coalesce(merchant, F.lit(""))
+    # null where it is not found but might be a null element
+    return F.coalesce(F.array_contains(F.coalesce(known, F.array().cast("array<string>")), name), name == "")
 
 
 def amount_ratio(amount: Column, average: Column) -> Column:

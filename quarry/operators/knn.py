@@ -15,8 +15,14 @@ from pyspark.sql.window import Window
 
 from quarry.schemas import DIM, NEIGHBOURS, Q
 
-#: Vectors of a packed row, and distances that the kernel holds at once.
-QUERY_BLOCK, REFERENCE_BLOCK, CELLS = 4096, 32_768, 1 << 21
+#: Vectors of a packed row; queries and references whose distances the kernel holds at once.
+QUERY_BLOCK, REFERENCE_BLOCK, ROWS, TILE = 4096, 32_768, 512, 2048
+#: A squared distance of two vectors of 16-bit numbers fits.
+DISTANCE_BITS = 36
+#: Candidates as they are packed, those of so many neighbouring ids (as bits) in a row.
+FOUND, RANGE_BITS = np.dtype([("id", "i8"), ("dist", "i8"), ("orig_id", "i8"), ("label", "i1")]), 12
+#: Groups that share the queries of a cluster; its references go to each of them.
+SPREAD = 8
 #: Vectors that a packing task holds of all values of `by` together.
 HELD = 1 << 19
 
@@ -68,47 +74,155 @@ def pack(df: DataFrame, id_col: str, label_col: str | None = None, by: str | Non
     return df.select(*dict.fromkeys(c for c in (id_col, label_col, by, *Q) if c)).mapInArrow(_packer(id_col, label_col, by, block), "by long, ids binary, labels binary, data binary")
 
 
+def _nearest(x: np.ndarray, ref: np.ndarray, tiles: list[tuple[np.ndarray, np.ndarray]], reach: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of ref, distance): the k nearest of each row of x by (distance, row of ref), in that order.
+
+    Distances of a tile are taken in single precision, within an error that is known; only those that may be among the k
+    nearest so far are computed again, in whole numbers.
+    """
+    bits = max(1, (len(ref) - 1).bit_length())
+    rows = np.arange(len(x), dtype="i8") << (DISTANCE_BITS + bits)
+    best = np.repeat((rows | ((1 << (DISTANCE_BITS + bits)) - 1))[:, None], k, 1)  # no neighbour yet: the largest key of the row
+    square = (x.astype("i8") ** 2).sum(1)
+    slack = (np.sqrt(square.astype("f8")) + reach) ** 2 * 2.0**-18  # several times the error of a sum of 15 products
+    asked = np.concatenate([x.astype("f4") * -2, np.ones((len(x), 1), "f4")], 1)
+    for i, (at, tile) in enumerate(tiles):
+        d = asked @ tile
+        if i == 0:
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack if len(at) > k else np.full(len(x), np.inf)
+        else:
+            limit = ((best[:, -1] >> bits) & ((1 << DISTANCE_BITS) - 1)) - square + slack
+        found = np.flatnonzero(d <= limit.astype("f4")[:, None])
+        if not len(found):
+            continue
+        row, col = np.divmod(found, len(at))
+        col = at[col]
+        exact = ((x[row].astype("i4") - ref[col]).astype("i8") ** 2).sum(1)
+        keys = np.sort(np.concatenate([best.ravel(), rows[row] | (exact << bits) | col]))
+        best = keys[np.searchsorted(keys, rows)[:, None] + np.arange(k)]
+    row, col, dist = np.repeat(np.arange(len(x)), k), (best & ((1 << bits) - 1)).ravel(), ((best >> bits) & ((1 << DISTANCE_BITS) - 1)).ravel()
+    there = dist < (1 << DISTANCE_BITS) - 1
+    return row[there], col[there], dist[there]
+
+
+def _tiles(ref: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """References in tiles, each a sample of all, as (rows, values with the square below)."""
+    n = -(-len(ref) // TILE)
+    values = np.concatenate([ref.astype("f4"), (ref.astype("i8") ** 2).sum(1).astype("f4")[:, None]], 1)
+    return [(np.arange(i, len(ref), n), np.ascontiguousarray(values[i::n].T)) for i in range(n)]
+
+
+def _met(batches, k: int):
+    """A table of FOUND for each pair of blocks: the best k of each query in the block of references."""
+    for b in batches:
+        for r in b.to_pylist():
+            ids, ref_ids = np.frombuffer(r["ids"], "i8"), np.frombuffer(r["ref_ids"], "i8")
+            q, ref = (np.frombuffer(r[c], "i2").reshape(-1, DIM) for c in ("data", "ref_data"))
+            order = np.argsort(ref_ids, kind="stable")
+            ref, ref_ids, labels = ref[order], ref_ids[order], np.frombuffer(r["ref_labels"], "i1")[order]
+            tiles, reach = _tiles(ref), float(np.sqrt((ref.astype("f8") ** 2).sum(1).max()))
+            for i in range(0, len(q), ROWS):
+                row, col, dist = _nearest(q[i : i + ROWS], ref, tiles, reach, k)
+                out = np.empty(len(row), FOUND)
+                out["id"], out["dist"], out["orig_id"], out["label"] = ids[i : i + ROWS][row], dist, ref_ids[col], labels[col]
+                yield out
+
+
 def _kernel(k: int):
     def run(batches):
+        for x in _met(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in FOUND.names[:3]] + [pa.array(x["label"].astype("i4"))], names=list(FOUND.names))
+
+    return run
+
+
+def _by_range(x: np.ndarray):
+    """Rows (range, found) of a table of FOUND, one for each range of ids."""
+    x = x[np.argsort(x["id"], kind="stable")]
+    ranges = x["id"] >> RANGE_BITS
+    return [(int(p["id"][0] >> RANGE_BITS), p.tobytes()) for p in np.split(x, np.flatnonzero(np.diff(ranges)) + 1) if len(p)]
+
+
+def _ranged(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["range", "found"])
+
+
+def _packed_kernel(k: int):
+    def run(batches):
+        for x in _met(batches, k):
+            yield _ranged(_by_range(x))
+
+    return run
+
+
+def best_of(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+    """The k smallest (dist, orig_id) of each id, in order of ids."""
+    x = x[np.lexsort((x["orig_id"], x["dist"], x["id"]))]
+    return x[np.arange(len(x)) - np.searchsorted(x["id"], x["id"]) < k]
+
+
+def _merger(k: int, out):
+    """Merges rows (range, first, found) in order of ranges; out(first candidates, best k) is called for each range."""
+
+    def run(batches):
+        now, first, held, size = None, [], [], 0
+        none = np.empty(0, FOUND)
+
+        def whole():
+            return out(np.concatenate([none, *first]), best_of(np.concatenate([none, *held]), k))
+
         for b in batches:
-            for r in b.to_pylist():
-                ids, ref_ids = np.frombuffer(r["ids"], "i8"), np.frombuffer(r["ref_ids"], "i8")
-                q, ref = (np.frombuffer(r[c], "i2").reshape(-1, DIM).astype("f8") for c in ("data", "ref_data"))
-                labels = np.frombuffer(r["ref_labels"], "i1")
-                order = np.argsort(ref_ids, kind="stable")
-                ref, ref_ids, labels = ref[order], ref_ids[order], labels[order]
-                square, keep = (ref * ref).sum(1), min(k, len(ref))
-                step = max(1, CELLS // len(ref))
-                for i in range(0, len(q), step):
-                    x = q[i : i + step]
-                    # whole numbers below 2^53: exact in double precision
-                    d = ((x * x).sum(1)[:, None] + square - 2 * (x @ ref.T)).astype("i8")
-                    if keep < len(ref):
-                        limit = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-                        row, col = np.nonzero(d <= limit)  # in order of reference id within a row
-                    else:
-                        row, col = np.divmod(np.arange(d.size), len(ref))
-                    near = d[row, col]
-                    at = np.lexsort((col, near, row))
-                    row, col, near = row[at], col[at], near[at]
-                    rank = np.arange(len(row)) - np.searchsorted(row, row)
-                    best = rank < keep
-                    row, col, near = row[best], col[best], near[best]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + step][row]), pa.array(near), pa.array(ref_ids[col]), pa.array(labels[col].astype("i4"))], names=["id", "dist", "orig_id", "label"])
+            for r, early, x in zip(b.column("range").to_pylist(), b.column("first").to_pylist(), b.column("found").to_pylist(), strict=True):
+                if r != now:
+                    if now is not None:
+                        yield whole()
+                    now, first, held, size = r, [], [], 0
+                x = np.frombuffer(x, FOUND)
+                held.append(x)
+                size += len(x)
+                if early:
+                    first.append(x)
+                if size > HELD:
+                    held = [best_of(np.concatenate(held), k)]
+                    size = 0
+        if now is not None:
+            yield whole()
 
     return run
 
 
-def candidates(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS, by_cluster: bool = False) -> DataFrame:
-    """Packed queries and references -> (id, dist, orig_id, label): the best k of each query in each pair of blocks."""
+def merge(found: DataFrame, out, schema: str, k: int = NEIGHBOURS) -> DataFrame:
+    """found (range, first, found) -> what `out` makes of each range: out(candidates of the first search, best k of all)."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.select("range", "first", "found").repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merger(k, out), schema)
+
+
+def ranged_best(_, best: np.ndarray) -> pa.RecordBatch:
+    return _ranged(_by_range(best))
+
+
+def _pairs(queries: DataFrame, references: DataFrame, by_cluster: bool) -> DataFrame:
+    """Packed queries and references in pairs of blocks."""
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = references.select(F.col("by").alias("ref_by"), F.col("ids").alias("ref_ids"), F.col("labels").alias("ref_labels"), F.col("data").alias("ref_data"))
-    if by_cluster:
-        met = queries.join(r, F.col("by") == F.col("ref_by"))
+    if by_cluster:  # few clusters would be few tasks; small blocks are much work, so partitions are not to be made fewer
+        q = queries.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(SPREAD)).cast("int"))
+        r = r.withColumn("ref_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).repartition(4 * n, "ref_by", "ref_part")
+        met = q.join(r.hint("merge"), (F.col("by") == F.col("ref_by")) & (F.col("part") == F.col("ref_part")))
     else:  # each block of references moves once, to one group; the queries go to every group
-        n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         r = r.withColumn("ref_group", F.pmod(F.xxhash64("ref_ids"), F.lit(n)).cast("int")).repartition(n, "ref_group")
         met = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(r, F.col("group") == F.col("ref_group"))
-    return met.select("ids", "data", "ref_ids", "ref_labels", "ref_data").mapInArrow(_kernel(k), "id long, dist long, orig_id long, label int")
+    return met.select("ids", "data", "ref_ids", "ref_labels", "ref_data")
+
+
+def candidates(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS, by_cluster: bool = False) -> DataFrame:
+    """Packed queries and references -> (id, dist, orig_id, label): the best k of each query in each pair of blocks."""
+    return _pairs(queries, references, by_cluster).mapInArrow(_kernel(k), "id long, dist long, orig_id long, label int")
+
+
+def packed_candidates(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """The same by cluster, as rows (range, found) of a table of FOUND for a range of ids."""
+    return _pairs(queries, references, True).mapInArrow(_packed_kernel(k), "range long, found binary")
 
 
 def top(found: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

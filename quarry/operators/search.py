@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.vectors import box_bound, box_columns, columns
 from quarry.operators.kmeans import float_distances
-from quarry.operators.knn import QUERY_BLOCK, candidates, pack, top
-from quarry.operators.score import vote
+from quarry.operators.knn import FOUND, QUERY_BLOCK, candidates, merge, pack, packed_candidates, ranged_best
 from quarry.schemas import AMBIGUOUS, DIM, MAX_CLUSTERS, NEIGHBOURS, NPROBE, C, Q, V
 from quarry.sources.shared import stash
 
@@ -62,7 +62,11 @@ def refinements(queries: DataFrame, fast: DataFrame, near: DataFrame, probed: Da
     unsure = fast.filter(F.col("fraud_count").isin(*AMBIGUOUS)).select("id")
     worst = near.groupBy("id").agg(F.max("dist").alias("worst"), F.count("*").alias("found"))
     worst = worst.select("id", F.when(F.col("found") >= NEIGHBOURS, F.col("worst")).alias("worst"))
-    unsure = queries.select("id", *Q).join(unsure, "id").join(worst, "id", "left")
+    return _unvisited(queries.select("id", *Q).join(unsure, "id").join(worst, "id", "left"), probed, clusters)
+
+
+def _unvisited(unsure: DataFrame, probed: DataFrame, clusters: DataFrame) -> DataFrame:
+    """unsure (id, q0.., worst) -> (id, q0.., cluster_id, bound, worst) of clusters that may be nearer and are not in `probed`."""
     lo, hi = box_columns()
     # MAX_CLUSTERS rows at most
     boxes = F.broadcast(clusters.filter("n > 0").select("cluster_id", *[f"lo{i}" for i in range(DIM)], *[f"hi{i}" for i in range(DIM)]))
@@ -70,21 +74,79 @@ def refinements(queries: DataFrame, fast: DataFrame, near: DataFrame, probed: Da
     return pairs.select("id", *Q, "cluster_id", "bound", "worst").join(probed.select("id", "cluster_id"), ["id", "cluster_id"], "left_anti")
 
 
+def _runs(batches):
+    """Rows in order of a hash -> (id, vector, first, v0.., q0..): neighbours with equal values have one vector number."""
+    start, count, last = TaskContext.get().partitionId() << 40, -1, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = np.concatenate([np.stack([b.column(c).to_numpy() for c in names], 1).astype(t).view("i4") for names, t in ((V, "f4"), (Q, "i4"))], 1)
+        first = np.ones(len(x), bool)
+        first[1:] = (x[1:] != x[:-1]).any(1)
+        first[0] = last is None or (x[0] != last).any()
+        numbers, last = count + np.cumsum(first), x[-1].copy()
+        count = int(numbers[-1])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(start + numbers), pa.array(first), *(b.column(c) for c in (*V, *Q))], names=["id", "vector", "first", *V, *Q])
+
+
+def distinct(queries: DataFrame) -> DataFrame:
+    """queries (id, v0.., q0..) with `vector`, a number that only rows with equal values share, and `first`, true for one row of each number.
+
+    Equal rows come together by a hash, so nearly all of them share a number; numbers of a partition have no gaps. They
+    depend on the plan: write them before use.
+    """
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = queries.select("id", *V, *Q, F.xxhash64(*V, *Q).alias("hash")).repartition(n, "hash").sortWithinPartitions("hash")
+    schema = "id long, vector long, first boolean, " + ", ".join([*(f"{v} float" for v in V), *(f"{q} int" for q in Q)])
+    return hashed.drop("hash").mapInArrow(_runs, schema)
+
+
+def _scan_packed(probed: DataFrame, rows: DataFrame, first: bool) -> DataFrame:
+    """scan(), with candidates packed."""
+    found = packed_candidates(pack(probed, "id", by="cluster_id", block=QUERY_BLOCK), pack(rows, "orig_id", "label", by="cluster_id"))
+    return found.select("range", F.lit(first).alias("first"), "found")
+
+
+def _per_id(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, place of its first candidate, number of frauds) of candidates in order of ids."""
+    ids, at = np.unique(x["id"], return_index=True)
+    return ids, at, np.add.reduceat(x["label"], at, dtype="i4") if len(ids) else np.empty(0, "i4")
+
+
+def _doubtful(batches):
+    """Packed best -> (id, worst) of ambiguous counts."""
+    for b in batches:
+        for x in b.column("found").to_pylist():
+            x = np.frombuffer(x, FOUND)
+            ids, at, frauds = _per_id(x)
+            found = np.diff(np.append(at, len(x)))
+            unsure = np.isin(frauds, AMBIGUOUS)
+            worst = pa.array(x["dist"][at + found - 1][unsure], mask=(found < NEIGHBOURS)[unsure])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[unsure]), worst], names=["id", "worst"])
+
+
+def _counted(first: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    ids, _, frauds = _per_id(best)
+    early, _, fast = _per_id(first)  # an ambiguous count has candidates, so both have the same ids
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fast[np.searchsorted(early, ids)]), pa.array(frauds)], names=["vector", "fast", "final"])
+
+
 def search(queries: DataFrame, clusters: DataFrame, rows: DataFrame, nprobe: int = NPROBE, refine: bool = True) -> DataFrame:
     """(id, fast_count, refined, fraud_count) of every query; without a refinement fraud_count is the fast count.
 
-    Probing all clusters is the exact search. No clusters or no rows give counts of 0. A refinement uses queries and fast
-    neighbours again, so both are written to the shared folder first.
+    Probing all clusters is the exact search. No clusters or no rows give counts of 0. Equal queries are searched once;
+    numbered queries and fast neighbours are used again, so both are written to the shared folder first.
     """
-    if not refine:
-        fast = vote(queries, top(scan(probes(queries, clusters, nprobe), rows)))
-        return fast.select("id", F.col("fraud_count").alias("fast_count"), F.lit(False).alias("refined"), "fraud_count")
-    queries = stash(queries.select("id", *V, *Q), "queries")
-    probed = probes(queries, clusters, nprobe)
-    near = stash(top(scan(probed, rows)), "near")
-    fast = vote(queries, near)
-    unsure = fast.filter(F.col("fraud_count").isin(*AMBIGUOUS)).select("id")
-    more = scan(refinements(queries, fast, near, probed, clusters).select("id", *Q, "cluster_id"), rows)
-    again = vote(unsure, top(near.join(unsure, "id", "left_semi").select("id", "dist", "orig_id", "label").union(more)))
-    out = fast.withColumnRenamed("fraud_count", "fast_count").join(again, "id", "left")
-    return out.select("id", "fast_count", F.col("fraud_count").isNotNull().alias("refined"), F.coalesce("fraud_count", "fast_count").alias("fraud_count"))
+    numbered = stash(distinct(queries), "queries")
+    asked = numbered.filter("first").select(F.col("vector").alias("id"), *V, *Q)
+    found = stash(merge(_scan_packed(probes(asked, clusters, nprobe), rows, True), ranged_best, "range long, found binary"), "near")
+    near = found.withColumn("first", F.lit(True)).select("range", "first", "found")
+    if refine:
+        doubtful = found.select("found").mapInArrow(_doubtful, "id long, worst long")
+        unsure = stash(asked.join(doubtful, "id"), "unsure")
+        more = _unvisited(unsure.select("id", *Q, "worst"), probes(unsure, clusters, nprobe), clusters)
+        near = near.union(_scan_packed(more.select("id", *Q, "cluster_id"), rows, False))
+    counts = merge(near, _counted, "vector long, fast int, final int")
+    out = numbered.select("id", "vector").join(counts, "vector", "left")
+    fast = F.coalesce("fast", F.lit(0))
+    return out.select("id", fast.alias("fast_count"), (F.lit(refine) & fast.isin(*AMBIGUOUS)).alias("refined"), F.coalesce("final", F.lit(0)).alias("fraud_count"))

@@ -14,7 +14,7 @@ from quarry.operators.score import decision, response
 from quarry.plans.config import BuildConfig
 from quarry.schemas import Q, V
 from quarry.sources import index_files
-from quarry.sources.shared import scratch
+from quarry.sources.shared import scratch, small_methods, stash
 
 
 def build_index(references: DataFrame, path: str, config: BuildConfig | None = None) -> dict:
@@ -55,7 +55,8 @@ class Scorer:
 
         A valid request for which the searcher has no answer gets status 500.
         """
-        df = self.vectorizer(requests)
+        with small_methods(requests.sparkSession):
+            df = stash(self.vectorizer(requests).select(key, "id", "status", *V, *Q), "vectors")  # read twice, so requests are made once
         valid = df.filter("status = 200").select(F.col(key).alias("id"), *V, *Q)
         counts = self.searcher(valid).select(F.col("id").alias(key), F.col("fraud_count").alias("__count"))
         out = df.select(key, "id", "status").join(counts, key, "left")

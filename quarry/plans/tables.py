@@ -42,8 +42,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each event, with request_key (the event's id).
 
     The customer's known merchants are those of all their events before, the last transaction is the event before (at
-    a distance made from its value), and the average is over all of a customer's events, in whole cents. A list of known
-    merchants comes from the first event of each customer and merchant, so that no window grows with a customer's events.
+    a distance made from its value), and the average is over all of a customer's events, in whole cents. A customer's
+    different merchants are listed once, by first use; an event has as many of them as were used before it.
     """
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     e = e.select("event_id", "user_id", "event_type", "value", F.col("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -52,15 +52,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = user.orderBy("us", "event_id")
     day = user.orderBy("us").rangeBetween(-DAY_SECONDS * 1_000_000, 0)
     cents = F.round(F.col("value") * 100).cast("long")
-    first = e.groupBy("user_id", "merchant_id").agg(F.min(F.struct("us", "event_id")).alias("first"))
-    uses = first.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("first", "merchant_id"))).alias("uses"))  # a customer's different merchants
-    e = e.join(uses, "user_id")
-    known = F.transform(F.filter("uses", lambda x: x["first"] < F.struct("us", "event_id")), lambda x: x["merchant_id"])
+    # one shuffle by customer serves every window
+    e = e.repartition("user_id").withColumn("first", F.row_number().over(Window.partitionBy("user_id", "merchant_id").orderBy("us", "event_id")) == 1)
     e = e.select(
-        "event_id", "event_type", "value", "k", "merchant_id", "at", known.alias("known"),
+        "event_id", "event_type", "value", "k", "merchant_id", "at",
+        F.collect_list(F.when(F.col("first"), F.struct("merchant_id"))).over(before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("uses"),
+        F.count_if("first").over(before.rowsBetween(Window.unboundedPreceding, -1)).cast("int").alias("used"),
         (F.sum(cents).over(user) / F.count("*").over(user) / 100).cast("float").alias("average"),
         F.count("*").over(day).alias("n_day"), F.lag("at").over(before).alias("last_at"), F.lag("value").over(before).alias("last_value"),
     )
+    e = e.withColumn("known", F.slice("uses.merchant_id", F.lit(1), F.coalesce("used", F.lit(0))))
     mcc = F.element_at(F.array(*map(F.lit, MCCS)), (F.col("k") % len(MCCS) + 1).cast("int"))
     return e.select(
         F.col("event_id").alias("request_key"),

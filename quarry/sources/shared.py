@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside have no generated method beyond 8,000 bytes, which the JVM would leave to its interpreter."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quarry/{_SCOPE.get()}{label}-{uuid.uuid4().hex}"
 
