@@ -13,7 +13,7 @@ from quarry.plans.jobs import Scorer, build_index, index_searcher
 from quarry.schemas import MCC_RISK, C, Q, V
 from quarry.sources import index_files, requests
 from quarry.sources.references import encode_label
-from quarry.sources.shared import new_path, stash
+from quarry.sources.shared import new_path, small_methods, stash
 from quarry.streaming.scoring import parquet_writer, score_stream
 
 #: Decimals of float results.
@@ -305,12 +305,18 @@ def score_requests(spark, sf_dir):
 
 
 def stream_score(spark, sf_dir):
-    """The same requests as a stream of four files, a batch each, scored and written by batch."""
+    """The same requests as a stream in up to four batches, scored and written by batch.
+
+    Files are written where requests are made, several a batch: to deal them into four would move every list of merchants.
+    """
     given, out, progress = (new_path(spark, x) for x in ("stream", "streamed", "progress"))
     r = tables.requests(spark, sf_dir)
-    r.repartition(4).write.parquet(given)
+    share = -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // 4)
+    with small_methods(spark):
+        r.write.option("maxRecordsPerFile", max(1, share)).parquet(given)
+    files = -(-len(spark.read.parquet(given).inputFiles()) // 4)
     clusters, rows = (stash(x, "index") for x in tables.index(spark, sf_dir))
-    source = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    source = spark.readStream.schema(r.schema).option("maxFilesPerTrigger", max(1, files)).parquet(given)
     query = score_stream(source, Scorer(index_searcher(clusters, rows, 8)), parquet_writer(out), progress, availableNow=True)
     query.awaitTermination()
     if query.exception():
