@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 from quarry.schemas import DIM, NEIGHBOURS, Q
 
 #: Vectors of a packed row; queries and references whose distances the kernel holds at once.
-QUERY_BLOCK, REFERENCE_BLOCK, ROWS, TILE = 4096, 32_768, 512, 2048
+QUERY_BLOCK, REFERENCE_BLOCK, ROWS, TILE = 4096, 32_768, 256, 2048
+#: Parts of the first tile whose least distances bound the nearest ones.
+PARTS = 64
 #: A squared distance of two vectors of 16-bit numbers fits.
 DISTANCE_BITS = 36
 #: Candidates as they are packed, those of so many neighbouring ids (as bits) in a row.
@@ -74,6 +76,12 @@ def pack(df: DataFrame, id_col: str, label_col: str | None = None, by: str | Non
     return df.select(*dict.fromkeys(c for c in (id_col, label_col, by, *Q) if c)).mapInArrow(_packer(id_col, label_col, by, block), "by long, ids binary, labels binary, data binary")
 
 
+def _least(d: np.ndarray, k: int) -> np.ndarray:
+    """Least distance of each of PARTS parts of a row: k of them are k different distances, so the k-th is no less than that of the row."""
+    n = d.shape[1] // PARTS
+    return d[:, : n * PARTS].reshape(len(d), n, PARTS).min(1) if n > 1 and k <= PARTS else d
+
+
 def _nearest(x: np.ndarray, ref: np.ndarray, tiles: list[tuple[np.ndarray, np.ndarray]], reach: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of x, row of ref, distance): the k nearest of each row of x by (distance, row of ref), in that order.
 
@@ -89,7 +97,7 @@ def _nearest(x: np.ndarray, ref: np.ndarray, tiles: list[tuple[np.ndarray, np.nd
     for i, (at, tile) in enumerate(tiles):
         d = asked @ tile
         if i == 0:
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1] + 2 * slack if len(at) > k else np.full(len(x), np.inf)
+            limit = np.partition(_least(d, k), k - 1, axis=1)[:, k - 1] + 2 * slack if len(at) > k else np.full(len(x), np.inf)
         else:
             limit = ((best[:, -1] >> bits) & ((1 << DISTANCE_BITS) - 1)) - square + slack
         found = np.flatnonzero(d <= limit.astype("f4")[:, None])
@@ -193,21 +201,20 @@ def _merger(k: int, out):
 
 def merge(found: DataFrame, out, schema: str, k: int = NEIGHBOURS) -> DataFrame:
     """found (range, first, found) -> what `out` makes of each range: out(candidates of the first search, best k of all)."""
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.select("range", "first", "found").repartition(n, "range").sortWithinPartitions("range").mapInArrow(_merger(k, out), schema)
+    return found.select("range", "first", "found").repartition("range").sortWithinPartitions("range").mapInArrow(_merger(k, out), schema)
 
 
 def ranged_best(_, best: np.ndarray) -> pa.RecordBatch:
     return _ranged(_by_range(best))
 
 
-def _pairs(queries: DataFrame, references: DataFrame, by_cluster: bool) -> DataFrame:
-    """Packed queries and references in pairs of blocks."""
+def _pairs(queries: DataFrame, references: DataFrame, by_cluster: bool, tasks: int | None = None) -> DataFrame:
+    """Packed queries and references in pairs of blocks; those of clusters in so many tasks, or in four for each shuffle partition."""
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = references.select(F.col("by").alias("ref_by"), F.col("ids").alias("ref_ids"), F.col("labels").alias("ref_labels"), F.col("data").alias("ref_data"))
     if by_cluster:  # few clusters would be few tasks; small blocks are much work, so partitions are not to be made fewer
         q = queries.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(SPREAD)).cast("int"))
-        r = r.withColumn("ref_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).repartition(4 * n, "ref_by", "ref_part")
+        r = r.withColumn("ref_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).repartition(tasks or 4 * n, "ref_by", "ref_part")
         met = q.join(r.hint("merge"), (F.col("by") == F.col("ref_by")) & (F.col("part") == F.col("ref_part")))
     else:  # each block of references moves once, to one group; the queries go to every group
         r = r.withColumn("ref_group", F.pmod(F.xxhash64("ref_ids"), F.lit(n)).cast("int")).repartition(n, "ref_group")
@@ -220,9 +227,9 @@ def candidates(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS, b
     return _pairs(queries, references, by_cluster).mapInArrow(_kernel(k), "id long, dist long, orig_id long, label int")
 
 
-def packed_candidates(queries: DataFrame, references: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+def packed_candidates(queries: DataFrame, references: DataFrame, tasks: int | None = None, k: int = NEIGHBOURS) -> DataFrame:
     """The same by cluster, as rows (range, found) of a table of FOUND for a range of ids."""
-    return _pairs(queries, references, True).mapInArrow(_packed_kernel(k), "range long, found binary")
+    return _pairs(queries, references, True, tasks).mapInArrow(_packed_kernel(k), "range long, found binary")
 
 
 def top(found: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.vectors import box_bound, box_columns, columns
 from quarry.operators.kmeans import float_distances
-from quarry.operators.knn import FOUND, QUERY_BLOCK, candidates, merge, pack, packed_candidates, ranged_best
-from quarry.schemas import AMBIGUOUS, DIM, MAX_CLUSTERS, NEIGHBOURS, NPROBE, C, Q, V
+from quarry.operators.knn import FOUND, QUERY_BLOCK, SPREAD, candidates, merge, pack, packed_candidates, ranged_best
+from quarry.schemas import AMBIGUOUS, DIM, HI, LO, MAX_CLUSTERS, NEIGHBOURS, NPROBE, C, Q, V
 from quarry.sources.shared import stash
 
 
@@ -43,8 +43,15 @@ def probes(queries: DataFrame, clusters: DataFrame, nprobe: int = NPROBE) -> Dat
     nprobe of 0 or less means NPROBE, and no more than there are clusters. Equal distances go to the lower cluster. An
     empty cluster takes a probe like any other.
     """
-    ids, centroids = load_centroids(clusters)
-    nprobe = min(NPROBE if nprobe <= 0 else nprobe, max(1, len(ids)))
+    return _probes(queries, *load_centroids(clusters), nprobe)
+
+
+def _visited(nprobe: int, clusters: int) -> int:
+    return min(NPROBE if nprobe <= 0 else nprobe, max(1, clusters))
+
+
+def _probes(queries: DataFrame, ids: np.ndarray, centroids: np.ndarray, nprobe: int) -> DataFrame:
+    nprobe = _visited(nprobe, len(ids))
     schema = "id long, " + ", ".join(f"{q} int" for q in Q) + ", cluster_id int, probe int, centroid_dist float"
     return queries.select("id", *V, *Q).mapInArrow(_prober(ids, centroids, nprobe), schema)
 
@@ -62,11 +69,7 @@ def refinements(queries: DataFrame, fast: DataFrame, near: DataFrame, probed: Da
     unsure = fast.filter(F.col("fraud_count").isin(*AMBIGUOUS)).select("id")
     worst = near.groupBy("id").agg(F.max("dist").alias("worst"), F.count("*").alias("found"))
     worst = worst.select("id", F.when(F.col("found") >= NEIGHBOURS, F.col("worst")).alias("worst"))
-    return _unvisited(queries.select("id", *Q).join(unsure, "id").join(worst, "id", "left"), probed, clusters)
-
-
-def _unvisited(unsure: DataFrame, probed: DataFrame, clusters: DataFrame) -> DataFrame:
-    """unsure (id, q0.., worst) -> (id, q0.., cluster_id, bound, worst) of clusters that may be nearer and are not in `probed`."""
+    unsure = queries.select("id", *Q).join(unsure, "id").join(worst, "id", "left")
     lo, hi = box_columns()
     # MAX_CLUSTERS rows at most
     boxes = F.broadcast(clusters.filter("n > 0").select("cluster_id", *[f"lo{i}" for i in range(DIM)], *[f"hi{i}" for i in range(DIM)]))
@@ -74,6 +77,34 @@ def _unvisited(unsure: DataFrame, probed: DataFrame, clusters: DataFrame) -> Dat
     return pairs.select("id", *Q, "cluster_id", "bound", "worst").join(probed.select("id", "cluster_id"), ["id", "cluster_id"], "left_anti")
 
 
+#: Pairs of a query and a cluster that a task looks at together.
+_LOOKED_AT = 1 << 20
+
+
+def _unvisited(boxes: DataFrame, ids: np.ndarray, centroids: np.ndarray, nprobe: int):
+    """(id, v0.., q0.., worst) -> (id, q0.., cluster_id): the pairs of refinements(), told without a join: boxes come to the driver as centroids do."""
+    box = {r[0]: r[1:] for r in boxes.filter("n > 0").select("cluster_id", *LO, *HI).limit(MAX_CLUSTERS + 1).collect()}
+    full = np.array([i in box for i in ids.tolist()], bool)
+    lo, hi = np.array([box.get(i, (0,) * (2 * DIM)) for i in ids.tolist()], "i8").reshape(-1, 2, DIM).transpose(1, 2, 0)
+    nprobe, step = _visited(nprobe, len(ids)), max(1, _LOOKED_AT // max(1, len(ids)))
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                x, q = (np.stack([b.column(c).to_numpy() for c in names], 1).astype(t) for names, t in ((V, "f4"), (Q, "i8")))
+                visited = np.argsort(float_distances(x, centroids), axis=1, kind="stable")[:, :nprobe]
+                bound = np.zeros((len(x), len(ids)), "i8")
+                for i in range(DIM):
+                    bound += np.maximum(np.maximum(lo[i] - q[:, i, None], q[:, i, None] - hi[i]), 0) ** 2
+                near = full & (bound <= b.column("worst").fill_null(np.iinfo("i8").max).to_numpy()[:, None])
+                np.put_along_axis(near, visited, False, 1)
+                row, col = np.nonzero(near)
+                again = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(again), *(b.column(c).take(again) for c in Q), pa.array(ids[col])], names=["id", *Q, "cluster_id"])
+
+    return run
+
+
 def _runs(batches):
     """Rows in order of a hash -> (id, vector, first, v0.., q0..): neighbours with equal values have one vector number."""
     start, count, last = TaskContext.get().partitionId() << 40, -1, None
@@ -95,15 +126,20 @@ def distinct(queries: DataFrame) -> DataFrame:
     Equal rows come together by a hash, so nearly all of them share a number; numbers of a partition have no gaps. They
     depend on the plan: write them before use.
     """
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = queries.select("id", *V, *Q, F.xxhash64(*V, *Q).alias("hash")).repartition(n, "hash").sortWithinPartitions("hash")
+    hashed = queries.select("id", *V, *Q, F.xxhash64(*V, *Q).alias("hash")).repartition("hash").sortWithinPartitions("hash")
     schema = "id long, vector long, first boolean, " + ", ".join([*(f"{v} float" for v in V), *(f"{q} int" for q in Q)])
     return hashed.drop("hash").mapInArrow(_runs, schema)
 
 
-def _scan_packed(probed: DataFrame, rows: DataFrame, first: bool) -> DataFrame:
+def _tasks(queries: DataFrame, clusters: int) -> int:
+    """Tasks of a scan: one for each group of a cluster or for a block of queries, whichever are more. A Python task without work takes as long as some ten million distances."""
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of fewer, Spark would make so many
+    return max(n, min(4 * n, max(SPREAD * clusters, queries.count() // QUERY_BLOCK)))
+
+
+def _scan_packed(probed: DataFrame, rows: DataFrame, first: bool, tasks: int) -> DataFrame:
     """scan(), with candidates packed."""
-    found = packed_candidates(pack(probed, "id", by="cluster_id", block=QUERY_BLOCK), pack(rows, "orig_id", "label", by="cluster_id"))
+    found = packed_candidates(pack(probed, "id", by="cluster_id", block=QUERY_BLOCK), pack(rows, "orig_id", "label", by="cluster_id"), tasks)
     return found.select("range", F.lit(first).alias("first"), "found")
 
 
@@ -137,15 +173,19 @@ def search(queries: DataFrame, clusters: DataFrame, rows: DataFrame, nprobe: int
     Probing all clusters is the exact search. No clusters or no rows give counts of 0. Equal queries are searched once;
     numbered queries and fast neighbours are used again, so both are written to the shared folder first.
     """
-    numbered = stash(distinct(queries), "queries")
+    # values of equal queries are written once
+    numbered = stash(distinct(queries).select("id", "vector", "first", *(F.when(F.col("first"), F.col(c)).alias(c) for c in (*V, *Q))), "queries")
     asked = numbered.filter("first").select(F.col("vector").alias("id"), *V, *Q)
-    found = stash(merge(_scan_packed(probes(asked, clusters, nprobe), rows, True), ranged_best, "range long, found binary"), "near")
+    ids, centroids = load_centroids(clusters)
+    fast = _scan_packed(_probes(asked, ids, centroids, nprobe), rows, True, _tasks(asked, len(ids)))
+    found = stash(merge(fast, ranged_best, "range long, found binary"), "near")
     near = found.withColumn("first", F.lit(True)).select("range", "first", "found")
     if refine:
         doubtful = found.select("found").mapInArrow(_doubtful, "id long, worst long")
         unsure = stash(asked.join(doubtful, "id"), "unsure")
-        more = _unvisited(unsure.select("id", *Q, "worst"), probes(unsure, clusters, nprobe), clusters)
-        near = near.union(_scan_packed(more.select("id", *Q, "cluster_id"), rows, False))
+        schema = "id long, " + ", ".join(f"{q} int" for q in Q) + ", cluster_id int"
+        more = unsure.mapInArrow(_unvisited(clusters, ids, centroids, nprobe), schema)
+        near = near.union(_scan_packed(more, rows, False, _tasks(unsure, len(ids))))
     counts = merge(near, _counted, "vector long, fast int, final int")
     out = numbered.select("id", "vector").join(counts, "vector", "left")
     fast = F.coalesce("fast", F.lit(0))

@@ -43,6 +43,45 @@ def test_equal_queries_are_searched_once(spark):
     assert all(found[i] == found[i % 3] for i in found)
 
 
+def test_few_queries_are_few_tasks(spark):
+    """Python tasks follow the work, not the number of shuffle partitions."""
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert search.distinct(ask(spark, 0.1, 0.2, 0.3)).rdd.getNumPartitions() < 10
+        found = spark.createDataFrame([(0, True, bytearray())], "range long, first boolean, found binary")
+        assert knn.merge(found, knn.ranged_best, "range long, found binary").rdd.getNumPartitions() < 10
+        assert search._tasks(ask(spark, 0.1, 0.2, 0.3), 2) == 50 and search._tasks(spark.range(90 * 4096), 2) == 90 and search._tasks(spark.range(3), 1000) == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_clusters_left_to_search(spark):
+    """The clusters that a doubtful query still has to read are told alike with and without joins, also where one is empty or no bound is known."""
+    rng = np.random.default_rng(6)
+    x = rng.uniform(-1, 1, (200, DIM)).astype("f4")
+    centroids = np.concatenate([np.stack([x[i::4].mean(0) for i in range(4)]), np.zeros((1, DIM), "f4")])
+    clusters, _ = layout.build(spark.createDataFrame([(int(i % 4), i, i % 2, *map(float, v)) for i, v in enumerate(x)], ROW), centroids)
+    queries = ask(spark, *np.linspace(-1, 1, 40).tolist()).cache()
+    votes = queries.select("id", F.when(F.col("id") % 3 > 0, 2).otherwise(0).alias("fraud_count"))
+    each = F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 5 == 0, 4).otherwise(5)))
+    near = queries.select("id", (F.col("id") * 20_000_000).alias("dist"), each)
+    for nprobe in (1, 3):
+        want = search.refinements(queries, votes, near, search.probes(queries, clusters, nprobe), clusters)
+        unsure = queries.filter("id % 3 > 0").withColumn("worst", F.when(F.col("id") % 5 > 0, F.col("id") * 20_000_000))
+        got = unsure.mapInArrow(search._unvisited(clusters, *search.load_centroids(clusters), nprobe), "id long, " + ", ".join(f"{q} int" for q in Q) + ", cluster_id int")
+        want, got = (sorted(map(tuple, d.select("id", *Q, "cluster_id").collect())) for d in (want, got))
+        assert got == want and 0 < len(got) < 26 * (4 - nprobe + 1)
+
+
+def test_least_of_parts():
+    rng = np.random.default_rng(7)
+    for n in (3, 64, 127, 128, 1000):
+        d = rng.uniform(0, 1, (20, n)).astype("f4")
+        k = min(5, n)
+        assert (np.sort(knn._least(d, k), 1)[:, k - 1] >= np.sort(d, 1)[:, k - 1]).all()
+
+
 def test_requests_are_made_once(spark):
     made = spark.sparkContext.accumulator(0)
 
